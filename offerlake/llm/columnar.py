@@ -21,8 +21,9 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 WORD = np.zeros(256, bool)
 WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")] = True
 WORD[128:] = True
-SOLID = np.ones(256, bool)
-SOLID[:33] = False
+#: Anything but space, control characters and line breaks.
+SPACED = np.ones(256, bool)
+SPACED[:33] = False
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
@@ -101,7 +102,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns that an operator reads, by exact name, with text in lower case as ``lowered`` where asked for."""
+    """Only the columns that an operator reads, by exact name."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

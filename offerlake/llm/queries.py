@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import syncmers
+from offerlake.llm import linededup, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,9 @@ def query(name: str, sql: str | None = None):
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer anchors of every document."""
     return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_dedup", linededup.SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the repeats of earlier lines removed."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
