@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import decontaminate, linededup, simhash, syncmers
+from offerlake.llm import decontaminate, linededup, packing, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has a near duplicate, with its group."""
     return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2,048 words."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public 50k byte-level BPE."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
