@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import decontaminate, linededup, packing, simhash, syncmers, tokencount
+from offerlake.llm import decontaminate, licenses, linededup, packing, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public 50k byte-level BPE."""
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_licenses", licenses.sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license wording in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
