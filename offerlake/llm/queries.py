@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import decontaminate, licenses, linededup, packing, simhash, syncmers, tokencount
+from offerlake.llm import arcfiles, decontaminate, licenses, linededup, packing, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license wording in every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_arc_to_warc", arcfiles.SQL)
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, put into ARC archives and converted into WARC records."""
+    return arcfiles.to_warc(arcfiles.archive(_table(spark, sf_dir, "pages"))).drop("arc_offset")
