@@ -30,7 +30,7 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
     """Bound what one Arrow batch holds, since a text may have any length."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key, None)
-        if now is None or not 0 < int(now) <= most:
+        if now is None or not 0 < int(now.rstrip("b")) <= most:
             spark.conf.set(key, str(most))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import arcfiles, decontaminate, licenses, linededup, packing, simhash, syncmers, tokencount
+from offerlake.llm import arcfiles, decontaminate, licenses, linededup, packing, quality, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, put into ARC archives and converted into WARC records."""
     return arcfiles.to_warc(arcfiles.archive(_table(spark, sf_dir, "pages"))).drop("arc_offset")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that neither rule ensemble rejects, with their chances of low quality and of toxicity."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.keep(documents, _table(spark, sf_dir, "labels")).select("doc_id", "low_quality", "toxicity")
