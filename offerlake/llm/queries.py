@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import arcfiles, decontaminate, licenses, linededup, packing, quality, simhash, syncmers, tokencount
+from offerlake.llm import arcfiles, decontaminate, licenses, linededup, packing, quality, recurrent, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that neither rule ensemble rejects, with their chances of low quality and of toxicity."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.keep(documents, _table(spark, sf_dir, "labels")).select("doc_id", "low_quality", "toxicity")
+
+
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document under a recurrent network trained on all of them."""
+    return recurrent.language_model(_table(spark, sf_dir, "documents"))
