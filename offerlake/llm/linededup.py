@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int | None =
     A line is what stands between line breaks, compared without spaces at its ends; one of fewer than min_words words
     always stays. All columns of docs are kept and text is replaced; ``lines_dropped`` is added (a column of that name in
     docs gives way). Rows that agree in doc_id and text count as one document and get the same result. A null text stays
-    null and an empty one empty. With drop_emptied, documents that had a word and have none left are removed.
+    null and an empty one empty. With drop_emptied, documents that have lost lines and have none of min_words words left are
+    removed.
     """
     C.small_batches(docs.sparkSession)
     rest = docs.drop("lines_dropped", "row_key")
@@ -168,7 +169,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int | None =
     text = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(kept)
     out = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce(F.size("numbers"), F.lit(0)).alias("lines_dropped"))
     if drop_emptied:
-        out = out.filter(F.col("text").isNull() | (F.col("lines_dropped") == 0) | F.col("text").rlike(r"\S"))
+        more = rf"(?:[\x00-\x20&&[^\n]]++[^\x00-\x20]++){{{min_words - 1}}}" if min_words > 1 else ""
+        out = out.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(rf"[^\x00-\x20]++{more}"))
     return out
 
 
@@ -176,8 +178,8 @@ SQL = f"""
 WITH cut AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents
 ), marked AS (
-  SELECT doc_id, n, line, row_number() OVER (PARTITION BY regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') ORDER BY doc_id, n) > 1
-    AND len(regexp_extract_all(line, '[^ \\t\\r]+')) >= {MIN_WORDS} AS again FROM cut
+  SELECT doc_id, n, line, row_number() OVER (PARTITION BY regexp_replace(line, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') ORDER BY doc_id, n) > 1
+    AND len(regexp_extract_all(line, '[^\\x00-\\x20]+')) >= {MIN_WORDS} AS again FROM cut
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT again), '') AS text, CAST(count(*) FILTER (again) AS INT) AS lines_dropped
 FROM marked GROUP BY doc_id

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.simhash import checkpoint
+from offerlake.llm.shared import checkpoint
 
 #: Labelled documents that are fitted on at most: those of the least hash of their ids.
 MAX_TRAIN = 20_000

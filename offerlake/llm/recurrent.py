@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm import columnar as C
-from offerlake.llm.simhash import checkpoint
+from offerlake.llm.shared import checkpoint
 
 END, UNKNOWN, SPECIAL = 0, 1, 2
 VOCABULARY, CLASS_SIZE, HIDDEN = 1024, 32, 24
