@@ -31,19 +31,32 @@ def bigrams(c: Column | str) -> Column:
     return F.array_distinct(grams(F.concat(F.lit("#"), F.lower(text(c)), F.lit("#")), 2))
 
 
-def counted(items: Column) -> Column:
-    """A multiset as entries of item and number."""
-    return F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.size(F.filter(items, lambda y: y == x)).cast("double").alias("n")))
+def let(then, **values: Column) -> Column:
+    """then(v) with each value evaluated once a row, as v["name"]; lambdas would evaluate an expression anew each time."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
+
+
+def square_norm(items: Column) -> Column:
+    """Sum of squares of how often each item stands in an array, in one pass over it sorted."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1.0)  # a run of n adds 1 + 3 + ... + (2n - 1) = n * n
+        return F.struct(x.alias("last"), run.alias("run"), (s["total"] + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.array_sort(items), start, step, lambda s: s["total"])
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two multisets given as arrays; 0 where one is empty."""
-    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
-    left, right = counted(a), counted(b)
-    other = F.map_from_entries(right)
-    dot = F.aggregate(left, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.try_element_at(other, x["item"]), F.lit(0.0)))
-    norm = F.sqrt(total(left)) * F.sqrt(total(right))
-    return F.when(norm > 0, dot / norm).otherwise(0.0)
+    """Cosine of two multisets given as arrays of texts; 0 where one is empty. The first should be the shorter one."""
+
+    def of(v: Column) -> Column:
+        times = lambda items, x: F.size(F.filter(items, lambda y: y == x)).cast("double")
+        dot = F.aggregate(F.array_distinct(v["a"]), F.lit(0.0), lambda s, x: s + times(v["a"], x) * times(v["b"], x))
+        norm = F.sqrt(square_norm(v["a"])) * F.sqrt(square_norm(v["b"]))
+        return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+    return let(of, a=a, b=b)
 
 
 def vector_cosine(a: Column, b: Column) -> Column:
@@ -72,14 +85,18 @@ def relevance(query: Column | str, title: Column | str, body: Column | str) -> C
     Tokens count where the body has them as a token or within one; numbers only where all of the query's occur.
     """
     q, t, b = F.lower(squeeze(query)), F.lower(text(title)), F.lower(squeeze(body))
-    words = tokens(q)
+
+    def of(v: Column) -> Column:
+        q, t, b, words, numbers = (v[k] for k in ("q", "t", "b", "words", "numbers"))
+        all_numbers = (F.size(numbers) > 0) & F.forall(numbers, lambda n: b.contains(n))
+        score = (
+            0.42 * _share(words, lambda w: b.contains(w)) + 0.22 * _share(words, lambda w: t.contains(w)) + 0.24 * cosine(v["qg"], v["bg"])
+            + F.when(all_numbers, 0.12).otherwise(0.0) + F.when(b.contains(q), 0.15).otherwise(0.0)
+        )
+        return F.when((q == "") | (b == "") | (F.size(words) == 0), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 4))
+
     numbers = F.regexp_extract_all(q, F.lit(r"\d+(?:/\d+)?"), F.lit(0))
-    all_numbers = (F.size(numbers) > 0) & F.forall(numbers, lambda n: b.contains(n))
-    score = (
-        0.42 * _share(words, lambda w: b.contains(w)) + 0.22 * _share(words, lambda w: t.contains(w)) + 0.24 * cosine(trigrams(q), trigrams(b))
-        + F.when(all_numbers, 0.12).otherwise(0.0) + F.when(b.contains(q), 0.15).otherwise(0.0)
-    )
-    return F.when((q == "") | (b == "") | (F.size(words) == 0), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 4))
+    return let(of, q=q, t=t, b=b, words=tokens(q), numbers=numbers, qg=trigrams(q), bg=trigrams(b))
 
 
 def relevance_breakdown(query: Column | str, body: Column | str, fields: dict[str, Column], characteristics: Column) -> Column:

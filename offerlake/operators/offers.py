@@ -39,8 +39,10 @@ def body(columns: list[Column]) -> Column:
 
 
 def scored(offers: DataFrame, query: str | Column, text_columns: list[Column], checks: list[Column]) -> DataFrame:
+    """offers with relevance and completeness, through a generator, so that filters and sorts on them don't make them anew."""
     q = F.lit(query) if isinstance(query, str) else query
-    return offers.withColumn("relevance", similarity.relevance(q, F.col("title"), body(text_columns))).withColumn("completeness", similarity.completeness(checks))
+    scores = F.struct(similarity.relevance(q, F.col("title"), body(text_columns)).alias("relevance"), similarity.completeness(checks).alias("completeness"))
+    return offers.select("*", F.inline(F.array(scores)))
 
 
 def admitted(offers: DataFrame, query: str) -> DataFrame:

@@ -26,7 +26,8 @@ def health(log: DataFrame, source: str = "source", ts: str = "ts") -> DataFrame:
 def too_soon(log: DataFrame, key: str, ts: str, seconds: float = 0.7, tie: str | None = None) -> DataFrame:
     """Requests that came sooner after their key's last one than is allowed, with the gap in seconds."""
     order = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
-    gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(order)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = micros - F.lag(micros).over(order)
     return log.withColumn("gap", gap / 1e6).filter(F.col("gap") < seconds)
 
 

@@ -1,10 +1,17 @@
-"""Every registered query with the SQL it is checked against."""
+"""Every registered query with the SQL it is checked against. Each runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from offerlake.functions import markup, numbers, similarity, urls
+from offerlake.functions import text as X
+from offerlake.operators import expand, fulltext, offers, spell, tables
+from offerlake.plans.views import OFFERS, SYNONYMS_SQL, TYPOS, WORDS, synonyms, table, typos, words
+from offerlake.plans.views import offers as offer_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +27,442 @@ def query(name: str, sql: str | None = None):
         return function
 
     return add
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+@query("normalize_title", "SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM part")
+def normalize_title(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.normalize_title("p_type").alias("title"))
+
+
+@query("normalize_query", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(lower(text)), '[^\\p{L}\\p{M}\\p{N}_\\s/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user'")
+def normalize_query(spark, sf):
+    user = table(spark, sf, "conversations").filter("role = 'user'")
+    return user.select("conv_id", "turn", X.normalize_query("text", "none", ()).alias("query"))
+
+
+@query("clean_html_text", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
+def clean_html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.clean_text("html").alias("body"))
+
+
+@query("tokens_per_doc", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-zа-яё0-9]+(?:/[a-zа-яё0-9]+)?'), lambda w: length(w) > 1)) AS INT) AS n_tokens, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zа-яё0-9]+'), lambda w: length(w) > 2))) AS INT) AS n_distinct FROM documents")
+def tokens_per_doc(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), F.size(X.token_set("text")).alias("n_distinct"))
+
+
+@query(
+    "stopword_filtered_terms",
+    """SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS token FROM documents)
+    WHERE token NOT IN ('the', 'of', 'and', 'to', 'in', 'de', 'la', 'le', 'der', 'die', 'und') GROUP BY token""",
+)
+def stopword_filtered_terms(spark, sf):
+    stop = spark.createDataFrame([(w,) for w in "the of and to in de la le der die und".split()], "token string")
+    found = table(spark, sf, "documents").select("doc_id", F.explode(X.fts_tokens("text")).alias("token"))
+    return found.join(stop, "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("category_case", "SELECT p_partkey AS id, CASE WHEN contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin') THEN 'metal' WHEN contains(lower(p_type), 'small') THEN 'small' ELSE 'general' END AS category FROM part")
+def category_case(spark, sf):
+    rules = (("metal", ("steel", "tin")), ("small", ("small",)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.category("p_type", rules).alias("category"))
+
+
+@query("digit_symbol_translate", "SELECT p_partkey AS id, translate(lower(p_brand), '03468517@$#%&*', 'озчбвслтасноио') AS brand FROM part")
+def digit_symbol_translate(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.digits_to_letters("p_brand").alias("brand"))
+
+
+@query("layout_turn", "SELECT p_partkey AS id, translate(lower(p_name), 'qwertyuiop[]asdfghjkl;''zxcvbnm,./`', 'йцукенгшщзхъфывапролджэячсмитьбю.ё') AS turned FROM part")
+def layout_turn(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.turn_layout("p_name").alias("turned"))
+
+
+@query("capitalization", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) ELSE lower(p_name) END AS title FROM part")
+def capitalization(spark, sf):
+    like = F.when(F.col("p_partkey") % 3 == 0, F.lit("КОТ")).when(F.col("p_partkey") % 3 == 1, F.lit("Кот")).otherwise(F.lit("кот"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.preserve_capitalization(like, "p_name").alias("title"))
+
+
+@query("tire_sizes", "SELECT o_orderkey AS id, concat_ws('/', 100 + o_orderkey % 200, 40 + o_orderkey % 40) || ' R' || (13 + o_orderkey % 8) AS size FROM orders")
+def tire_sizes(spark, sf):
+    w, h, r = (F.lit(a) + F.col("o_orderkey") % b for a, b in ((100, 200), (40, 40), (13, 8)))
+    gap = F.when(F.col("o_orderkey") % 2 == 0, F.lit(" ")).otherwise(F.lit("-"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), X.tire_size(F.concat(w, gap, h, F.lit(" r"), r)).alias("size"))
+
+
+@query("cache_keys", "SELECT conv_id, turn, md5(text || '|128|5|base') AS key FROM conversations")
+def cache_keys(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.cache_key("text", 128, 5, "base").alias("key"))
+
+
+# --- numbers and URLs ------------------------------------------------------------------------------------------------
+
+
+@query("price_parse", "SELECT p_partkey AS id, CAST(round(p_retailprice) AS DOUBLE) AS price, p_retailprice AS exact, CASE WHEN p_retailprice >= 10 THEN CAST(round(p_retailprice) AS DOUBLE) END AS stated FROM part")
+def price_parse(spark, sf):
+    whole = F.round("p_retailprice").cast("long").cast("string")
+    formatted = F.concat(F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", " "), F.lit(" ₽"))
+    comma = F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(","))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), numbers.price(formatted).alias("price"), numbers.price_strict(comma).alias("exact"), numbers.price_in_text(F.concat(F.lit("цена "), formatted)).alias("stated"))
+
+
+@query("url_parts", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS domain, rtrim(split_part(lower(url), '?', 1), '/') AS dedup_key, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+def url_parts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.domain("url").alias("domain"), urls.dedup_key("url").alias("dedup_key"), urls.path("url").alias("path"))
+
+
+@query("url_normalized", "SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/a/b' AS rooted FROM pages")
+def url_normalized(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.normalize("url").alias("url"), urls.normalize(F.lit("/a/b#c"), "url").alias("rooted"))
+
+
+@query("excluded_domains_anti", "SELECT page_id, domain FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM pages) WHERE NOT (domain = 'example.com' OR domain LIKE '%.example.com' OR domain = 'm.example.net')")
+def excluded_domains_anti(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", urls.domain("url").alias("domain"))
+    return offers.excluded(rows, spark.createDataFrame([("example.com",), ("m.example.net",)], "domain string"))
+
+
+@query("dedup_url", "SELECT page_id, key FROM (SELECT page_id, rtrim(split_part(lower(url), '?', 1), '/') AS key, row_number() OVER (PARTITION BY rtrim(split_part(lower(url), '?', 1), '/') ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+def dedup_url(spark, sf):
+    return offers.dedup_by_url(table(spark, sf, "pages"), [F.col("page_id")]).select("page_id", urls.dedup_key("url").alias("key"))
+
+
+# --- markup ----------------------------------------------------------------------------------------------------------
+
+
+@query("extract_title_links", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS heading, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"')) AS INT) AS n_links FROM pages")
+def extract_title_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", markup.first_tag("html", "h1").alias("heading"), markup.first_tag("html", "title").alias("title"), F.size(markup.hrefs("html")).alias("n_links"))
+
+
+@query("blocked_pages", "SELECT page_id, contains(lower(html), 'forbidden') OR contains(lower(html), 'captcha') OR contains(lower(html), 'blocked') OR contains(lower(html), 'cloudflare') OR contains(lower(html), 'antibot') OR page_id % 10 = 0 AS blocked FROM pages")
+def blocked_pages(spark, sf):
+    code = F.when(F.col("page_id") % 10 == 0, 403).otherwise(200)
+    return table(spark, sf, "pages").select("page_id", markup.blocked(code, "html").alias("blocked"))
+
+
+@query("extract_products")
+def extract_products(spark, sf):
+    return table(spark, sf, "pages").select("page_id", markup.extract_product("url", "html").alias("p")).select("page_id", "p.title", "p.price", "p.how")
+
+
+@query("json_props", "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, sf):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, sf, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- scoring ---------------------------------------------------------------------------------------------------------
+
+_WANTED = "blue widget"
+_GRAMS = "list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3))"
+_TRIGRAM_SQL = f"""grams AS (SELECT id, {_GRAMS.format("body")} AS a, {_GRAMS.format("'" + _WANTED + "'")} AS b FROM bodies),
+  cosines AS (SELECT id, list_sum(list_transform(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) * len(list_filter(b, lambda y: y = x))))
+    / (sqrt(list_sum(list_transform(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(b), lambda x: len(list_filter(b, lambda y: y = x)) ** 2)))) AS cosine FROM grams)"""
+_BODIES = f"{OFFERS}, bodies AS (SELECT id, lower(title || ' ' || brand || ' ' || category) AS body, lower(title) AS low FROM offers)"
+
+
+def _checks() -> list:
+    filled = [X.text(c) != "" for c in ("title", "url", "brand", "category", "image", "source")]
+    return [*filled, F.col("price") > 0, F.col("size") > 10]
+
+
+def _scored(spark, sf) -> DataFrame:
+    return offers.scored(offer_view(spark, sf), _WANTED, [F.col(c) for c in ("title", "brand", "category")], _checks())
+
+
+_SCORED = f"""{_BODIES}, {_TRIGRAM_SQL}, scored AS (
+  SELECT o.*, round(least(1.0, 0.42 * (contains(body, 'blue')::INT + contains(body, 'widget')::INT) / 2 + 0.22 * (contains(low, 'blue')::INT + contains(low, 'widget')::INT) / 2
+    + 0.24 * cosine + CASE WHEN contains(body, '{_WANTED}') THEN 0.15 ELSE 0 END), 4) AS relevance,
+    round(((image <> '')::INT + 6 + (size > 10)::INT) / 8.0, 4) AS completeness
+  FROM offers o JOIN bodies USING (id) JOIN cosines USING (id))"""
+
+
+@query("trigram_cosine", f"WITH {_BODIES}, {_TRIGRAM_SQL} SELECT id, round(cosine, 4) AS cosine FROM cosines")
+def trigram_cosine(spark, sf):
+    joined = offers.body([F.col(c) for c in ("title", "brand", "category")])
+    return offer_view(spark, sf).select("id", F.round(similarity.cosine(similarity.trigrams(F.lit(_WANTED)), similarity.trigrams(joined)), 4).alias("cosine"))
+
+
+@query("lexical_relevance", f"WITH {_SCORED} SELECT id, relevance FROM scored")
+def lexical_relevance(spark, sf):
+    return _scored(spark, sf).select("id", "relevance")
+
+
+@query("completeness_score", f"WITH {_SCORED} SELECT id, completeness FROM scored")
+def completeness_score(spark, sf):
+    return _scored(spark, sf).select("id", "completeness")
+
+
+_TOP = f"{_SCORED}, kept AS (SELECT * FROM scored WHERE title <> '' AND url <> '' AND relevance >= 0.03), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, completeness DESC, price, id) AS place FROM kept) WHERE place <= 5)"
+
+
+def _top(spark, sf) -> DataFrame:
+    return offers.top_per_source(offers.admitted(_scored(spark, sf), _WANTED), 5, "id")
+
+
+@query("topk_per_source", f"WITH {_TOP} SELECT source, CAST(place AS INT) AS place, id, title, price, relevance, completeness FROM top")
+def topk_per_source(spark, sf):
+    return _top(spark, sf).select("source", "place", "id", "title", "price", "relevance", "completeness")
+
+
+@query("source_groups", f"WITH {_TOP} SELECT source, count(*) AS n, 'ok' AS status, min(price) AS min_price, max(price) AS max_price FROM top GROUP BY source")
+def source_groups(spark, sf):
+    return offers.source_groups(_top(spark, sf)).select("source", "n", "status", "min_price", "max_price")
+
+
+@query("price_summary", f"WITH {_TOP} SELECT count(*) AS total, min(price) AS min_price, max(price) AS max_price, round(avg(price), 4) AS avg_price, count(DISTINCT source) AS sources FROM top")
+def price_summary(spark, sf):
+    return offers.price_summary(_top(spark, sf))
+
+
+@query("source_items", f"WITH {_TOP} SELECT source, string_agg(id, ',' ORDER BY place) AS ids FROM top GROUP BY source")
+def source_items(spark, sf):
+    return offers.grouped_items(_top(spark, sf), ["id"]).select("source", F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ",").alias("ids"))
+
+
+_RANK = f"""{OFFERS}, quality AS (SELECT *, CASE WHEN price > 0 THEN 0.12 ELSE -0.10 END + CASE WHEN image <> '' THEN 0.05 ELSE -0.05 END + 0.02
+    + CASE WHEN length(title) < 8 THEN -0.20 WHEN length(title) > 20 THEN 0.03 ELSE 0 END AS quality,
+    regexp_extract_all(lower(title || ' brand ' || brand), '[a-z0-9]+') AS found FROM offers),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, CAST(trunc(price) AS BIGINT), source ORDER BY id) AS n FROM quality WHERE length(title) >= 4) WHERE n = 1)"""
+
+
+@query("rank_items", f"WITH {_RANK} SELECT id, round(least(1.0, greatest(0.0, 0.75 * (list_contains(found, 'blue')::INT + list_contains(found, 'widget')::INT) / 2.0 + quality)), 4) AS score FROM once")
+def rank_items(spark, sf):
+    items = offer_view(spark, sf).withColumn("characteristics", F.create_map(F.lit("brand"), F.col("brand")))
+    return offers.rank_items(items, _WANTED, [F.col("id")]).select("id", "score")
+
+
+@query("junk_filter", "SELECT id, title FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 3) ELSE p_name END AS title, CASE WHEN p_partkey % 7 = 0 THEN 5.0 ELSE p_retailprice END AS price FROM part) WHERE length(title) >= 4 AND price BETWEEN 10 AND 10000000")
+def junk_filter(spark, sf):
+    rows = offer_view(spark, sf).withColumn("title", F.when(F.col("id") % 5 == 0, F.substring("title", 1, 3)).otherwise(F.col("title"))).withColumn("price", F.when(F.col("id") % 7 == 0, 5.0).otherwise(F.col("price")))
+    return offers.index_admission(rows).select("id", "title")
+
+
+@query("dedup_entity_two_stage", f"WITH {OFFERS}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY id) AS n FROM offers) WHERE n = 1) SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY title, CAST(trunc(price) AS BIGINT), source ORDER BY id) AS m FROM once) WHERE m = 1")
+def dedup_entity_two_stage(spark, sf):
+    return offers.dedup_entities(offer_view(spark, sf), [F.col("id")]).select("id")
+
+
+@query("merge_detail", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> '' THEN p_brand ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 AND p_size <> 0 THEN p_size ELSE 1 END AS size, CASE WHEN p_partkey % 2 = 0 THEN [p_name, p_type] ELSE [p_name] END AS images FROM part")
+def merge_detail(spark, sf):
+    part = table(spark, sf, "part")
+    summary = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(1).alias("size"), F.array("p_name").alias("images"))
+    detail = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("title"), F.col("p_size").alias("size"), F.array("p_name", "p_type").alias("images"))
+    return offers.merge_detail(summary, detail, "id", lists=("images",))
+
+
+@query("first_variant", "SELECT p_type AS key, p_partkey AS id FROM (SELECT *, min(p_size) OVER (PARTITION BY p_type) AS least FROM part) WHERE p_size = least")
+def first_variant(spark, sf):
+    return offers.first_variant(table(spark, sf, "part"), ["p_type"], "p_size").select(F.col("p_type").alias("key"), F.col("p_partkey").alias("id"))
+
+
+@query("embedding_cosine_topk", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS c FROM embeddings, q) SELECT vec_id, round(c, 4) AS cosine FROM s ORDER BY c DESC, vec_id LIMIT 10")
+def embedding_cosine_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    one = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q")))  # a single row
+    exact = e.crossJoin(one).select("vec_id", similarity.vector_cosine(F.col("embedding"), F.col("q")).alias("c"))
+    return exact.orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 4).alias("cosine"))
+
+
+# --- words -----------------------------------------------------------------------------------------------------------
+
+_BIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('#' || {0} || '#', i, 2)))"
+
+
+@query("bigram_jaccard_pairs", f"WITH {WORDS}, g AS (SELECT word, {_BIGRAMS.format('word')} AS grams FROM words) SELECT a.word AS a, b.word AS b, round(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), 4) AS jaccard FROM g a JOIN g b ON a.word < b.word WHERE len(list_intersect(a.grams, b.grams)) > 0")
+def bigram_jaccard_pairs(spark, sf):
+    grams = spell.gram_index(words(spark, sf))
+    pairs = grams.alias("a").join(grams.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.word") < F.col("b.word"))).select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(similarity.jaccard(similarity.bigrams("a"), similarity.bigrams("b")), 4).alias("jaccard"))
+
+
+@query("bigram_candidates_topk", f"WITH {WORDS}, {TYPOS}, l AS (SELECT word, unnest({_BIGRAMS.format('word')}) AS gram FROM typos), r AS (SELECT word AS candidate, unnest({_BIGRAMS.format('word')}) AS gram FROM words), c AS (SELECT word, candidate, count(*) AS shared FROM l JOIN r USING (gram) GROUP BY ALL) SELECT word, candidate, shared FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY shared DESC, candidate) AS place FROM c) WHERE place <= 5")
+def bigram_candidates_topk(spark, sf):
+    return spell.gram_candidates(typos(spark, sf), words(spark, sf), 5)
+
+
+@query("length_band_join", f"WITH {WORDS}, {TYPOS} SELECT t.word, w.word AS candidate FROM typos t JOIN words w ON abs(length(t.word) - length(w.word)) <= 3")
+def length_band_join(spark, sf):
+    return spell.length_band(typos(spark, sf), words(spark, sf))
+
+
+@query("edit_distance_candidates", f"WITH {WORDS}, {TYPOS} SELECT t.word, w.word AS candidate, CAST(levenshtein(t.word, w.word) AS INT) AS distance FROM typos t JOIN words w ON levenshtein(t.word, w.word) <= 2")
+def edit_distance_candidates(spark, sf):
+    near = spell.length_band(typos(spark, sf), words(spark, sf), 2)
+    return near.withColumn("distance", F.levenshtein("word", "candidate", 2)).filter("distance >= 0")
+
+
+@query("spell_correct")
+def spell_correct(spark, sf):
+    return spell.ranked(typos(spark, sf), words(spark, sf), 1).select("word", "candidate", F.round("score", 6).alias("score"))
+
+
+@query("fuzzy_ratio_best")
+def fuzzy_ratio_best(spark, sf):
+    terms = words(spark, sf).select(F.col("word").alias("term"), F.dense_rank().over(Window.orderBy("word")).alias("ordinal"))
+    return spell.fuzzy_best(typos(spark, sf), terms, 70.0)
+
+
+@query("phonetic_keys")
+def phonetic_keys(spark, sf):
+    return words(spark, sf).select("word", similarity.phonetic_key("word").alias("key"))
+
+
+@query("precision_recall_f1", """WITH c AS (SELECT count(*) AS total, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn FROM labels),
+  r AS (SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) ELSE 0 END AS recall FROM c)
+  SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1 FROM r""")
+def precision_recall_f1(spark, sf):
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    return spell.rates(table(spark, sf, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(good & clean).alias("tp"), F.count_if(~good & clean).alias("fp"), F.count_if(good & ~clean).alias("fn")))
+
+
+@query("accuracy_by_category", "SELECT event_type AS category, count(*) AS total, CAST(count(*) FILTER (m = 1 AND c = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (c = 2 OR (m = 0 AND c = 1)) AS BIGINT) AS fp, CAST(count(*) FILTER (m = 1 AND c = 0) AS BIGINT) AS fn, round(avg(CASE WHEN (m = 1 AND c = 1) OR (m = 0 AND c = 0) THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM (SELECT event_type, event_id % 2 AS m, user_id % 3 AS c FROM events) GROUP BY event_type")
+def accuracy_by_category(spark, sf):
+    m, c = F.col("event_id") % 2, F.col("user_id") % 3
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("category"), F.when(m == 1, "bad").otherwise("good").alias("original"), F.when(c == 0, F.when(m == 1, "bad").otherwise("good")).when(c == 1, F.when(m == 1, "good").otherwise("odd")).otherwise("other").alias("corrected"), F.lit("good").alias("expected"))
+    return spell.metrics(rows, by=["category"]).drop("precision", "recall", "f1")
+
+
+@query("noise_pairs")
+def noise_pairs(spark, sf):
+    return spell.noise(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "noisy")
+
+
+# --- expansion -------------------------------------------------------------------------------------------------------
+
+
+@query("synonym_max_weight", f"WITH {WORDS}, {SYNONYMS_SQL} SELECT word, synonym AS target, max(weight) AS weight FROM words JOIN synonyms ON word = term WHERE synonym <> word GROUP BY ALL UNION ALL SELECT word, word, 1.0 FROM words")
+def synonym_max_weight(spark, sf):
+    return expand.weighted(words(spark, sf), synonyms(spark)).select("word", "target", "weight")
+
+
+@query("synonym_bidirectional", f"WITH {SYNONYMS_SQL} SELECT term, synonym, weight FROM synonyms UNION ALL SELECT synonym, term, max(weight) FROM synonyms s WHERE NOT EXISTS (SELECT 1 FROM synonyms t WHERE t.term = s.synonym AND t.synonym = s.term) GROUP BY ALL")
+def synonym_bidirectional(spark, sf):
+    return expand.bidirectional(synonyms(spark))
+
+
+@query("synonym_reverse", f"WITH {SYNONYMS_SQL} SELECT synonym, arg_max(term, ordinal) AS term FROM synonyms GROUP BY synonym")
+def synonym_reverse(spark, sf):
+    return expand.reverse_index(synonyms(spark))
+
+
+@query("expand_cartesian", f"""WITH {SYNONYMS_SQL}, q AS (SELECT DISTINCT p_name AS query, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part),
+  t AS (SELECT w, target, row_number() OVER (PARTITION BY w ORDER BY weight DESC, target) AS place FROM (SELECT term AS w, synonym AS target, weight FROM synonyms UNION ALL SELECT DISTINCT w, w, 2.0 FROM (SELECT a AS w FROM q UNION SELECT b FROM q)))
+  SELECT query, x.target || ' ' || y.target AS variant, CAST((x.place - 1) * (SELECT count(*) FROM t z WHERE z.w = b) + y.place - 1 AS INT) AS place FROM q JOIN t x ON x.w = a JOIN t y ON y.w = b""")
+def expand_cartesian(spark, sf):
+    q = table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
+    return expand.expand(q, synonyms(spark)).select("query", F.posexplode("variants").alias("place", "variant"))
+
+
+@query("query_variants", f"""WITH {SYNONYMS_SQL}, q AS (SELECT DISTINCT p_name AS query FROM part), v AS (SELECT query, ordinal, 0 AS way, replace(query, term, synonym) AS variant FROM q JOIN synonyms ON contains(query, term) UNION ALL SELECT query, ordinal, 1, replace(query, synonym, term) FROM q JOIN synonyms ON contains(query, synonym) UNION ALL SELECT query, -1, 0, query FROM q)
+  SELECT query, variant FROM (SELECT query, variant, row_number() OVER (PARTITION BY query ORDER BY min(ordinal * 2 + way)) AS n FROM v GROUP BY query, variant) WHERE n <= 10""")
+def query_variants(spark, sf):
+    q = table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
+    return expand.query_variants(q, synonyms(spark)).select("query", F.explode("search_variants").alias("variant"))
+
+
+@query("suggestions", f"WITH {SYNONYMS_SQL} SELECT term, ordinal FROM synonyms WHERE contains(term, 'g') ORDER BY ordinal LIMIT 8")
+def suggestions(spark, sf):
+    return expand.suggest(synonyms(spark), "g").select("term", "ordinal")
+
+
+@query("synonym_statistics", f"WITH {SYNONYMS_SQL} SELECT count(DISTINCT term) AS terms, count(*) AS pairs, round(avg(weight), 4) AS mean_weight, count(*) FILTER (contains(term, ' ')) AS phrases FROM synonyms")
+def synonym_statistics(spark, sf):
+    return expand.statistics(synonyms(spark))
+
+
+@query("usage_most_common", "SELECT user_id, uses FROM (SELECT user_id, count(*) AS uses, min(ts) AS f FROM events GROUP BY user_id) ORDER BY uses DESC, f, user_id LIMIT 10")
+def usage_most_common(spark, sf):
+    return expand.most_common(table(spark, sf, "events"), "user_id", 10, "ts")
+
+
+# --- full text -------------------------------------------------------------------------------------------------------
+
+_BM25 = """WITH t AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents WHERE WHERE_LANG), l AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
+  c AS (SELECT (SELECT count(*) FROM documents WHERE WHERE_LANG) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents WHERE WHERE_LANG) AS avgdl), h AS (SELECT doc_id, token, count(*) AS tf FROM t WHERE token IN ('the', 'thing') GROUP BY ALL),
+  d AS (SELECT token, count(*) AS df FROM h GROUP BY token)
+  SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM h JOIN d USING (token) JOIN l USING (doc_id), c GROUP BY doc_id HAVING count(*) = 2"""
+
+
+@query("bm25_scores", _BM25.replace("WHERE_LANG", "true"))
+def bm25_scores(spark, sf):
+    return fulltext.bm25(table(spark, sf, "documents"), "the thing", "doc_id", ["text"])
+
+
+@query("bm25_category", f"SELECT doc_id, score FROM ({_BM25.replace('WHERE_LANG', chr(39).join(['lang = ', 'en', '']))}) ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_category(spark, sf):
+    return fulltext.search(table(spark, sf, "documents"), "the thing", "doc_id", ["text"], 20, "en", "lang")
+
+
+@query("postings", "SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL")
+def postings(spark, sf):
+    return fulltext.postings(table(spark, sf, "documents"), "doc_id", ["text"])
+
+
+@query("like_fallback", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(source), 'the')) AND (contains(lower(text), 'ing') OR contains(lower(source), 'ing'))")
+def like_fallback(spark, sf):
+    return fulltext.contains_all(table(spark, sf, "documents"), "the ing", ["text", "source"]).select("doc_id")
+
+
+# --- tables that live on ---------------------------------------------------------------------------------------------
+
+
+@query("upsert_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(spark, sf):
+    e = table(spark, sf, "events")
+    return tables.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("health_latest_per_source", "SELECT event_type AS source, arg_max(value, ts) AS value, max(ts) AS last_seen FROM events GROUP BY event_type")
+def health_latest_per_source(spark, sf):
+    log = table(spark, sf, "events").select(F.col("event_type").alias("source"), "ts", F.lit("ok").alias("status"), F.lit(0).alias("latency_ms"), F.col("value").alias("items"))
+    return tables.health(log).select("source", F.col("items").alias("value"), "last_seen")
+
+
+@query("rate_limit_violations", "SELECT event_id, round(gap, 3) AS gap FROM (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 1e6 AS gap FROM events) WHERE gap < 60")
+def rate_limit_violations(spark, sf):
+    return tables.too_soon(table(spark, sf, "events"), "event_type", "ts", 60, "event_id").select("event_id", F.round("gap", 3).alias("gap"))
+
+
+@query("quota_running_total", "SELECT o_orderkey FROM (SELECT o_orderkey, coalesce(sum(CAST(1 AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) WHERE before < 3")
+def quota_running_total(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("one", F.lit(1))
+    return tables.until_total(rows, "one", 3, [F.col("o_orderdate"), F.col("o_orderkey")], ["o_custkey"]).select("o_orderkey")
+
+
+@query("host_quota", "SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) ORDER BY page_id) AS n FROM pages) WHERE n <= 2")
+def host_quota(spark, sf):
+    return offers.quota(table(spark, sf, "pages").withColumn("host", urls.host("url")), "host", 2, [F.col("page_id")]).select("page_id")
+
+
+@query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf):
+    grouped = table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("events_sliding", "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY s")
+def events_sliding(spark, sf):
+    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+@query("events_session", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def events_session(spark, sf):
+    grouped = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("supplier_price_summary", "SELECT s_suppkey, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_extendedprice), 4) AS mean FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+def supplier_price_summary(spark, sf):
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+
+
+@query("region_rollup", "SELECT r_name, n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def region_rollup(spark, sf):
+    joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
