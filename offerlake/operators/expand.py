@@ -100,8 +100,8 @@ def as_elastic(groups: Column) -> Column:
 
 def as_like(groups: Column, column: str) -> Column:
     """A condition in SQL text; quotes, percent signs and underscores in terms are taken as they are."""
-    escaped = lambda t: F.regexp_replace(F.replace(t, F.lit("'"), F.lit("''")), r"([%_\\])", r"\\\\$1")
-    one = lambda t: F.concat(F.lit(f"{column} LIKE '%"), escaped(t), F.lit("%' ESCAPE '\\\\'"))
+    escaped = lambda t: F.regexp_replace(F.replace(t, F.lit("'"), F.lit("''")), "([%_!])", "!$1")
+    one = lambda t: F.concat(F.lit(f"{column} LIKE '%"), escaped(t), F.lit("%' ESCAPE '!'"))
     return F.array_join(F.transform(groups, lambda g: F.concat(F.lit("("), F.array_join(F.transform(g, one), " OR "), F.lit(")"))), " AND ")
 
 

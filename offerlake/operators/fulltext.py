@@ -39,7 +39,7 @@ def bm25(docs: DataFrame, query: str, key: str, columns: list[str], k1: float =
     joined = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(corpus))  # a row a token of the query, and one
     idf = F.greatest(F.log((F.col("__docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
-    return joined.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return joined.groupBy(key).agg(F.sum(part).alias("score"))
 
 
 def _query_tokens(query: str) -> list[str]:

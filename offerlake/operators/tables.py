@@ -86,7 +86,7 @@ def adapter_fields(rows: DataFrame, rules: DataFrame) -> DataFrame:
     joined = rows.join(rules, "host", "left")
 
     def first(patterns: str) -> Column:
-        found = F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.regexp_extract(F.col("text"), p, 1))
+        found = F.expr(f"transform(coalesce({patterns}, cast(array() as array<string>)), p -> regexp_extract(text, p, 1))")
         return F.coalesce(F.get(F.filter(found, lambda v: v != ""), F.lit(0)), F.lit(""))
 
     return joined.withColumns({"brand": first("brand_patterns"), "seller_found": F.coalesce(F.nullif(first("seller_patterns"), F.lit("")), F.col("seller"))})
