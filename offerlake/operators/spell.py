@@ -165,10 +165,13 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def noise(texts: DataFrame, seed: int = 1, column: str = "text", deletion: float = 0.1, masking: float = 0.3) -> DataFrame:
     """Noisy copies for training: words deleted or masked and sentences shuffled, by hashes of the seed, text and place."""
-    chance = lambda salt, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(column), i), F.lit(10_000)) / 10_000.0
-    words = F.split(X.text(column), " ")
-    kept = F.filter(words, lambda w, i: chance("drop", i) >= deletion)
-    masked = F.transform(kept, lambda w, i: F.when((chance("mask", F.floor(i / 3)) < masking), F.lit("<mask>")).otherwise(w))
-    merged = F.regexp_replace(F.array_join(masked, " "), "<mask>(?: <mask>)+", "<mask>")
-    sentences = F.transform(F.split(merged, r"(?<=[.!?]) "), lambda s, i: F.struct(F.xxhash64(F.lit(seed), s, i).alias("k"), s.alias("s")))
-    return texts.withColumn("noisy", F.array_join(F.transform(F.array_sort(sentences), lambda x: x["s"]), " "))
+    chance = lambda key, salt, i: F.pmod(F.xxhash64(key, F.lit(salt), i), F.lit(10_000)) / 10_000.0
+
+    def of(v: Column) -> Column:
+        kept = F.filter(v["words"], lambda w, i: chance(v["key"], "drop", i) >= deletion)
+        masked = F.transform(kept, lambda w, i: F.when(chance(v["key"], "mask", F.floor(i / 3)) < masking, F.lit("<mask>")).otherwise(w))
+        merged = F.regexp_replace(F.array_join(masked, " "), "<mask>(?: <mask>)+", "<mask>")
+        sentences = F.transform(F.split(merged, r"(?<=[.!?]) "), lambda s, i: F.struct(F.xxhash64(v["key"], s, i).alias("k"), s.alias("s")))
+        return F.array_join(F.transform(F.array_sort(sentences), lambda x: x["s"]), " ")
+
+    return texts.withColumn("noisy", S.let(of, key=F.xxhash64(F.lit(seed), F.col(column)), words=F.split(X.text(column), " ")))
