@@ -91,7 +91,10 @@ def statistics(lexicon: dict[int, tuple[str, ...]]) -> dict[str, Column]:
 
     def toxic(w: Column) -> Column:
         tests = [(w if k == 0 else F.substring(w, 1, k)).isin(*units) for k, units in sorted(lexicon.items()) if units]
-        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+        if not tests:
+            return F.lit(False)
+        begins = sorted({u[:3] for units in lexicon.values() for u in units})  # nearly all words fail here
+        return F.substring(w, 1, 3).isin(*begins) & reduce(lambda a, b: a | b, tests)
 
     hits = F.size(F.filter(words, toxic)).cast("double")
     letters = F.length(F.array_join(words, "")).cast("double")
@@ -241,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     rows = F.broadcast(rows.orderBy(F.xxhash64("__id"), "__id", "quality", "toxic").limit(max_train))  # of a fixed size
-    sample = checkpoint(with_words(docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text").join(rows, "__id")))
+    sample = with_words(checkpoint(docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text").join(rows, "__id")))
     lexicon = learn_lexicon(sample)
     table = sample.select("__id", "quality", "toxic", *[c.alias(k) for k, c in statistics(lexicon).items()]).orderBy("__id", "quality", "toxic", "log_words").toPandas()
     x = table[NUMBERS].to_numpy(float)
