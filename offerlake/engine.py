@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,9 +40,15 @@ class Speller:
 
     dictionary: DataFrame
     max_distance: float = spell.MAX_DISTANCE
+    #: Adds ``suggested`` to a table of texts, null where it has nothing to say; it goes before the dictionary.
+    model: Callable[[DataFrame], DataFrame] | None = None
 
     def correct(self, texts: DataFrame) -> DataFrame:
-        return spell.correct(texts, self.dictionary, self.max_distance)
+        if self.model is None:
+            return spell.correct(texts, self.dictionary, self.max_distance)
+        own = self.model(texts).withColumn("__source", X.text("text")).withColumn("text", F.coalesce("suggested", "text"))
+        done = spell.correct(own, self.dictionary, self.max_distance)
+        return done.withColumn("text", F.col("__source")).withColumn("was_corrected", F.col("corrected") != F.col("__source")).drop("__source", "suggested")
 
     def topk(self, words: DataFrame, k: int = 5) -> DataFrame:
         return spell.topk_texts(words, self.dictionary, max(1, min(10, k)), self.max_distance)

@@ -299,6 +299,59 @@ def json_characteristics(source: pd.Series) -> pd.Series:
     return pd.Series([characteristics(load(s)) for s in source], dtype=object)
 
 
+_GEO_KEYS = {"city": ("city", "cityName", "addressLocality", "locality"), "storeAddress": ("address", "streetAddress", "storeAddress"), "pickupAddress": ("pickupAddress", "pickupPoint"), "warehouse": ("warehouse", "warehouseName", "stock"), "deliveryRegion": ("region", "deliveryRegion", "addressRegion")}
+
+
+def geo_of(node: object) -> dict[str, object]:
+    """Places named in nested JSON: the first value of each kind, and the first pair of coordinates."""
+    out: dict[str, object] = dict.fromkeys(GEO, "") | {"latitude": None, "longitude": None}
+    for d in walk(node):
+        for field, keys in _GEO_KEYS.items():
+            out[field] = out[field] or next((v for k in keys if not isinstance(d.get(k), list) and (v := plain(d.get(k)))), "")
+        lat, lon = (next((number_at(d[k]) for k in keys if k in d), None) for keys in (("lat", "latitude"), ("lon", "lng", "longitude")))
+        if out["latitude"] is None and lat is not None and lon is not None:
+            out["latitude"], out["longitude"] = lat, lon
+    return out
+
+
+def number_at(value: object) -> float | None:
+    try:
+        return float(str(value))
+    except ValueError:
+        return None
+
+
+_GEO_TYPE = T.StructType([T.StructField(k, T.StringType()) for k in GEO] + [T.StructField(k, T.DoubleType()) for k in ("latitude", "longitude")])
+
+
+@F.pandas_udf(_GEO_TYPE)
+def json_geo(source: pd.Series) -> pd.DataFrame:
+    rows = [geo_of(load(s)) for s in source]
+    return pd.DataFrame([[r[k] for k in _GEO_TYPE.names] for r in rows], columns=_GEO_TYPE.names)
+
+
+_TEXTS = T.ArrayType(T.StringType())
+_DETAILS = T.StructType([T.StructField("images", _TEXTS), T.StructField("breadcrumbs", _TEXTS), T.StructField("description", T.StringType()), T.StructField("specs", T.MapType(T.StringType(), T.StringType()))])
+
+
+def details(url: str | None, html: str | None) -> tuple[list[str], list[str], str, dict[str, str]]:
+    """At most 12 images, resolved, 12 breadcrumbs, the description, and 30 specifications of cells or of lines name: value."""
+    page = Page((html or "")[:1_000_000])
+    images = list(dict.fromkeys(urljoin(url or "", i) for i in [page.meta.get("og:image", ""), *page.images] if i))[:12]
+    specs = {k: v for k, v in zip(page.cells[::2], page.cells[1::2], strict=False) if k and v}
+    for line in " \n".join(page.words).split("\n"):
+        name, mark, value = line.strip().partition(":")
+        if mark and 2 <= len(name) <= 40 and 1 <= len(value.strip()) <= 120 and "//" not in line:
+            specs.setdefault(name.strip(), value.strip())
+    description = page.meta.get("description") or page.meta.get("og:description") or page.item.get("description", "")
+    return images, list(dict.fromkeys(page.crumbs))[:12], description, dict(list(specs.items())[:30])
+
+
+@F.pandas_udf(_DETAILS)
+def page_details(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([details(u, h) for u, h in zip(url, html, strict=True)], columns=_DETAILS.names)
+
+
 @F.udtf(returnType="ordinal int, depth int, node string")
 class JsonWalk:
     """The dictionaries in a JSON text, outer ones first: json_walk(json, depth, width)."""
@@ -336,5 +389,5 @@ def register(spark) -> None:
 
     spark.udtf.register("json_walk", JsonWalk)
     spark.udtf.register("html_links", HtmlLinks)
-    for name, function in (("weighted_levenshtein", similarity.weighted_levenshtein), ("indel_ratio", similarity.indel_ratio), ("safe_replace", texts.safe_replace), ("extract_words", texts.extract_words), ("resolve_url", urls.resolve), ("extract_product", extract_product), ("json_characteristics", json_characteristics)):
+    for name, function in (("weighted_levenshtein", similarity.weighted_levenshtein), ("indel_ratio", similarity.indel_ratio), ("safe_replace", texts.safe_replace), ("extract_words", texts.extract_words), ("resolve_url", urls.resolve), ("extract_product", extract_product), ("json_characteristics", json_characteristics), ("json_geo", json_geo), ("page_details", page_details)):
         spark.udf.register(name, function)

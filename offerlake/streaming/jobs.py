@@ -39,6 +39,12 @@ def current(spark: SparkSession, path: str, epoch: int) -> DataFrame:
     return spark.read.parquet(f"{path}/v{epoch % 2}")
 
 
+def refresh(spark: SparkSession, source: str, table: str, checkpoint: str, schema: str, key: str, by: Callable[[], list], every: str | None = None):
+    """Keep an index up to date from a folder of extracted pages: all that is new at once, or again after each interval."""
+    writer = admit(files(spark, source, schema)).writeStream.foreachBatch(upsert_into(table, key, by)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def admit(stream: DataFrame) -> DataFrame:
     """Extracted pages that may enter the index."""
     return offers.index_admission(stream)

@@ -147,6 +147,22 @@ def test_maps_and_geo(spark):
     assert row["city"] == "Москва" and (row["at"]["latitude"], row["at"]["longitude"]) == (55.7, 37.6) and row["p"]
 
 
+def test_geo_and_details_of_pages(spark):
+    payload = '{"store":{"city":"Тверь","address":{"name":"ул. Мира, 5"},"lat":"56.8","lng":35.9},"city":"Клин"}'
+    html = '<meta name="description" content="D"><div class="breadcrumb">Home</div><img src="/a.jpg"><img src="/a.jpg"><table><tr><td>Size</td><td>5</td></tr></table><p>Weight: 2 kg</p>'
+    row = spark.range(1).select(markup.json_geo(F.lit(payload)).alias("g"), markup.page_details(F.lit("http://x.y/z"), F.lit(html)).alias("d"), markup.json_geo(F.lit("{")).alias("none")).first()
+    assert (row["g"]["city"], row["g"]["storeAddress"], row["g"]["latitude"], row["g"]["longitude"]) == ("Клин", "ул. Мира, 5", 56.8, 35.9)
+    assert row["none"]["city"] == "" and row["none"]["latitude"] is None
+    assert row["d"]["images"] == ["http://x.y/a.jpg"] and row["d"]["breadcrumbs"] == ["Home"] and row["d"]["description"] == "D" and row["d"]["specs"] == {"Size": "5", "Weight": "2 kg"}
+
+
+def test_a_model_goes_before_the_dictionary(spark, known):
+    texts = spark.createDataFrame([("запрос", ), ("тлефон",)], "text string")
+    model = lambda df: df.withColumn("suggested", F.when(F.col("text") == "запрос", F.lit("мыш")))
+    out = {r["text"]: (r["corrected"], r["was_corrected"]) for r in Speller(known, model=model).correct(texts).collect()}
+    assert out == {"запрос": ("мышь", True), "тлефон": ("телефон", True)}
+
+
 def test_market_payloads(spark):
     wb = '{"data":{"products":[{"id":14400001,"name":"Шина","brand":"B","feedbacks":3,"sizes":[{"price":null},{"price":{"total":0,"product":499900}}]},{"id":2,"name":"N","brand":null,"salePriceU":1000}]}}'
     rows = payloads.wildberries(spark.createDataFrame([("p", wb), ("q", "{broken")], "path string, json string")).orderBy("ordinal").collect()
