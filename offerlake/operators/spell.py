@@ -73,7 +73,7 @@ def split_words(c: Column | str) -> Column:
 def correct(texts: DataFrame, known: DataFrame, max_distance: float = MAX_DISTANCE, text: str = "text") -> DataFrame:
     """texts with ``corrected`` and ``was_corrected``: words that aren't known are replaced by their best candidate.
 
-    Case is kept, each word is corrected once however often it stands in the corpus, and texts are rebuilt by place.
+    Case is kept (a known word in mixed case gets that of its first letter), each word is corrected once however often it stands in the corpus, and texts are rebuilt by place.
     """
     keyed = texts.withColumn("__row", F.xxhash64(X.text(text)))
     pieces = keyed.select("__row", text).dropDuplicates(["__row"]).select("__row", F.posexplode(split_words(text)).alias("at", "piece"))
@@ -81,8 +81,8 @@ def correct(texts: DataFrame, known: DataFrame, max_distance: float = MAX_DISTAN
     pieces = pieces.withColumn("word", plain)
     unknown = pieces.select("word").filter("word is not null and length(word) > 1").distinct().join(known, "word", "left_anti")
     best = ranked(unknown, known, 1, max_distance).select("word", "candidate")
-    fixed = pieces.join(best, "word", "left")
-    changed = F.coalesce(F.col("candidate"), F.when(F.col("word") != F.lower("piece"), F.col("word")))
+    fixed = pieces.join(best, "word", "left").join(known.select("word", F.lit(True).alias("__known")), "word", "left")
+    changed = F.coalesce(F.col("candidate"), F.when(F.col("__known") | (F.col("word") != F.lower("piece")), F.col("word")))
     new = F.when(changed.isNull(), F.col("piece")).otherwise(X.preserve_capitalization("piece", changed))
     whole = fixed.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", new.alias("new")))), lambda p: p["new"]), "").alias("corrected"))
     out = keyed.join(whole, "__row", "left").drop("__row").withColumn("corrected", F.coalesce("corrected", X.text(text)))

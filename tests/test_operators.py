@@ -9,7 +9,7 @@ from offerlake.operators import expand, fulltext, offers, spell, tables
 from offerlake.sources import dictionaries, payloads
 
 KNOWN = "телефон компьютер мышь наушники ноутбук клавиатура экран зарядка планшет смартфон принтер сканер роутер для игр монитор".split()
-CASES = [("тлефон", "телефон"), ("Тлефон", "Телефон"), ("КОМПЬТЕР", "КОМПЬЮТЕР"), ("мыш", "мышь"), ("наушнеки для игр", "наушники для игр"), ("тел3фон", "телефон"), ("экр@н!", "экран!"), ("роутре", "роутер"), ("ноутбук", "ноутбук"), ("", ""), ("монитор 24 дюйма", "монитор 24 дюйма")]
+CASES = [("тлефон", "телефон"), ("Тлефон", "Телефон"), ("КОМПЬТЕР", "КОМПЬЮТЕР"), ("мыш", "мышь"), ("НаУшНиКи", "Наушники"), ("наушнеки для игр", "наушники для игр"), ("тел3фон", "телефон"), ("экр@н!", "экран!"), ("роутре", "роутер"), ("ноутбук", "ноутбук"), ("", ""), ("монитор 24 дюйма", "монитор 24 дюйма")]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def test_correction(spark, known):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(CASES)], "id int, text string, expected string")
     out = Speller(known).correct(rows).collect()
     assert {r["id"]: r["corrected"] for r in out} == {i: b for i, (_, b) in enumerate(CASES)}
-    assert {r["id"] for r in out if not r["was_corrected"]} == {8, 9, 10}
+    assert {r["id"] for r in out if not r["was_corrected"]} == {9, 10, 11}
 
 
 def test_evaluation_and_metrics(spark, known):
