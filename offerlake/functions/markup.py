@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.functions.text import clean_text, text
+from offerlake.functions.text import any_of, clean_text, let, text
 
 BLOCK_MARKS = ("captcha", "access denied", "доступ ограничен", "are you a robot", "вы не робот", "too many requests", "forbidden", "cloudflare", "подозрительн", "проверка браузера", "antibot", "blocked")
 BLOCK_CODES = (401, 403, 407, 418, 429, 498, 503)
@@ -50,14 +50,14 @@ def json_scripts(html: Column | str) -> Column:
 
 
 def blocked(code: Column, body: Column | str) -> Column:
-    lowered = F.lower(text(body))
-    return F.coalesce(code.isin(*BLOCK_CODES), F.lit(False)) | F.exists(F.array(*map(F.lit, BLOCK_MARKS)), lambda m: lowered.contains(m))
+    marked = let(lambda v: any_of(v["body"], BLOCK_MARKS), body=F.lower(text(body)))
+    return F.coalesce(code.isin(*BLOCK_CODES), F.lit(False)) | marked
 
 
 def product_payload(body: Column | str) -> Column:
     """At least two marks of a product in the first 250,000 characters."""
     start = F.lower(F.substring(text(body), 1, 250_000))
-    return F.size(F.filter(F.array(*map(F.lit, PRODUCT_MARKS)), lambda m: start.contains(m))) >= 2
+    return let(lambda v: sum((v["body"].contains(m).cast("int") for m in PRODUCT_MARKS), F.lit(0)) >= 2, body=start)
 
 
 def product_link(href: Column, anchor: Column, fragments: tuple[str, ...] = ("/product/", "/catalog/", "/item/", "/detail", "/p/", "/goods/")) -> Column:

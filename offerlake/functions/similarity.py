@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.functions.text import squeeze, text, token_set, tokens
+from offerlake.functions.text import let, squeeze, text, token_set, tokens
 
 # --- n-grams ---------------------------------------------------------------------------------------------------------
 
@@ -31,11 +31,6 @@ def bigrams(c: Column | str) -> Column:
     return F.array_distinct(grams(F.concat(F.lit("#"), F.lower(text(c)), F.lit("#")), 2))
 
 
-def let(then, **values: Column) -> Column:
-    """then(v) with each value evaluated once a row, as v["name"]; lambdas would evaluate an expression anew each time."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
-
-
 def square_norm(items: Column) -> Column:
     """Sum of squares of how often each item stands in an array, in one pass over it sorted."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))

@@ -29,17 +29,23 @@ def refresh(index: DataFrame, changed: DataFrame, gone: DataFrame, key: str, col
 
 
 def bm25(docs: DataFrame, query: str, key: str, columns: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """key and score of the documents that hold every token of the query. Only the query's postings are joined and summed."""
-    words = list(dict.fromkeys(w for w in _query_tokens(query)))
-    index_source = docs.select(key, reduce(lambda a, c: F.concat(a, c), [X.fts_tokens(c) for c in columns]).alias("__tokens"))
-    sizes = index_source.select(key, F.size("__tokens").alias("dl"), F.filter("__tokens", lambda t: t.isin(*words) if words else F.lit(False)).alias("__hits"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("__docs"), F.avg("dl").alias("__avg"))
-    hits = sizes.filter(F.size(F.array_distinct("__hits")) == len(words)).select(key, "dl", F.explode("__hits").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = sizes.select(F.explode(F.array_distinct("__hits")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    joined = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(corpus))  # a row a token of the query, and one
-    idf = F.greatest(F.log((F.col("__docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
-    return joined.groupBy(key).agg(F.sum(part).alias("score"))
+    """key and score of the documents that hold every token of the query.
+
+    Documents are measured where they are; all that is shuffled is one row of statistics.
+    """
+    words = list(dict.fromkeys(_query_tokens(query)))
+    every = reduce(lambda a, c: F.concat(a, c), [X.fts_tokens(c) for c in columns])
+    hits = lambda v: F.filter(v["tokens"], lambda t: t.isin(*words) if words else F.lit(False))
+    measured = docs.select(key, F.inline(F.array(X.let(lambda v: F.struct(F.size(v["tokens"]).alias("__dl"), hits(v).alias("__hits")), tokens=every))))
+    df = [F.count_if(F.array_contains("__hits", w)).alias(f"__df{i}") for i, w in enumerate(words)]
+    corpus = measured.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__dl").alias("__avg"), *df)
+    full = measured.filter(F.size(F.array_distinct("__hits")) == len(words)) if words else measured.limit(0)
+    score = F.lit(0.0)
+    for i, w in enumerate(words):
+        n, tf = F.col(f"__df{i}"), F.size("__hits") - F.size(F.array_remove("__hits", w))
+        idf = F.greatest(F.log((F.col("__docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / F.col("__avg")))
+    return full.crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))  # one row
 
 
 def _query_tokens(query: str) -> list[str]:

@@ -174,4 +174,4 @@ def noise(texts: DataFrame, seed: int = 1, column: str = "text", deletion: float
         sentences = F.transform(F.split(merged, r"(?<=[.!?]) "), lambda s, i: F.struct(F.xxhash64(v["key"], s, i).alias("k"), s.alias("s")))
         return F.array_join(F.transform(F.array_sort(sentences), lambda x: x["s"]), " ")
 
-    return texts.withColumn("noisy", S.let(of, key=F.xxhash64(F.lit(seed), F.col(column)), words=F.split(X.text(column), " ")))
+    return texts.withColumn("noisy", X.let(of, key=F.xxhash64(F.lit(seed), F.col(column)), words=F.split(X.text(column), " ")))
