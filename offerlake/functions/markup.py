@@ -22,9 +22,7 @@ BLOCK_MARKS = ("captcha", "access denied", "доступ ограничен", "a
 BLOCK_CODES = (401, 403, 407, 418, 429, 498, 503)
 PRODUCT_MARKS = ('"price"', '"sku"', '"offers"', '"product"', '"brand"', '"rating"', '"reviews"', '"name"', '"title"', '"image"')
 
-# --- expressions -----------------------------------------------------------------------------------------------------
-
-
+# expressions
 def first_tag(html: Column | str, tag: str) -> Column:
     """Text of the first element of a tag."""
     return clean_text(F.regexp_extract(text(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
@@ -44,8 +42,8 @@ def meta(html: Column | str, name: str) -> Column:
 
 def json_scripts(html: Column | str) -> Column:
     """Contents of the scripts that hold JSON, state assignments included."""
-    typed = F.regexp_extract_all(text(html), F.lit(r'(?is)<script\b[^>]*(?:application/(?:ld\+)?json|__NEXT_DATA__)[^>]*>(.*?)</script>'), F.lit(1))
-    assigned = F.regexp_extract_all(text(html), F.lit(r"(?is)window\.__(?:INITIAL_STATE|PRELOADED_STATE|NUXT)__\s*=\s*(\{.*?\})\s*;?\s*</script>"), F.lit(1))
+    typed = F.regexp_extract_all(text(html), F.lit(r'(?i)<script\b[^>]*?(?:application/(?:ld\+)?json|__NEXT_DATA__)[^>]*>([\s\S]*?)</script'), F.lit(1))
+    assigned = F.regexp_extract_all(text(html), F.lit(r"(?i)window\.__(?:NUXT|PRELOADED_STATE|INITIAL_STATE)__ ?= ?([\s\S]*?);?\s*</script"), F.lit(1))
     return F.concat(typed, assigned)
 
 
@@ -118,20 +116,17 @@ def ordered_union(a: Column, b: Column, most: int = 12) -> Column:
     return F.slice(F.array_distinct(F.concat(a, b)), 1, most)
 
 
-# --- parsing ---------------------------------------------------------------------------------------------------------
-
-
+# parsing
 def walk(node: object, depth: int = 12, width: int = 300):
     """Dictionaries of nested JSON, outer ones first, so deep and so wide at most."""
-    if depth < 0:
-        return
-    if isinstance(node, dict):
-        yield node
-        for value in node.values():
-            yield from walk(value, depth - 1, width)
-    elif isinstance(node, list):
-        for value in node[:width]:
-            yield from walk(value, depth - 1, width)
+    todo = [(node, depth)]
+    while todo:
+        at, left = todo.pop()
+        if left >= 0 and isinstance(at, dict | list):
+            inner = at[:width] if isinstance(at, list) else list(at.values())
+            todo += [(v, left - 1) for v in reversed(inner)]
+            if isinstance(at, dict):
+                yield at
 
 
 def load(source: str | None) -> object:
@@ -150,8 +145,11 @@ def plain(value: object) -> str:
     return "" if value is None or isinstance(value, bool) else str(value).strip()
 
 
+AMOUNT = r"[0-9][0-9\s\u00a0]*(?:[.,][0-9][0-9]?)?"
+
+
 def number(value: object) -> float | None:
-    found = re.search(r"\d[\d\s ]*(?:[.,]\d{1,2})?", plain(value))
+    found = re.search(AMOUNT, plain(value))
     return float(re.sub(r"[\s ]", "", found[0]).replace(",", ".")) if found else None
 
 
@@ -273,7 +271,7 @@ def extract(url: str | None, html: str | None, least: int = 200) -> dict | None:
         return out | {"title": page.item["name"], "price": number(page.item["price"]), "image": page.item.get("image", ""), "brand": page.item.get("brand", ""), "how": "microdata"}
     if page.meta.get("og:title") and (page.meta.get("product:price:amount") or page.meta.get("og:price:amount")):
         return out | {"title": page.meta["og:title"], "price": number(page.meta.get("product:price:amount") or page.meta["og:price:amount"]), "image": page.meta.get("og:image", ""), "how": "opengraph"}
-    stated = re.search(r"(\d[\d\s ]{0,12}(?:[.,]\d{1,2})?)\s*(?:₽|руб|RUB|р\.)", " ".join(page.words), re.I)
+    stated = re.search(rf"({AMOUNT})\s*(?:руб|rub|₽|р\.)", " ".join(page.words), re.I)
     if len(page.heading) >= 4 and (stated or not ld):
         image = page.meta.get("og:image") or next((i for i in page.images if re.search("product|main|hero", i)), "")
         cells = dict(zip(page.cells[::2], page.cells[1::2], strict=False))

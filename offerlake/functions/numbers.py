@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions.text import text
 
-CURRENCY = r"(?iu)(\d[\d\s ]{0,12}(?:[.,]\d{1,2})?)\s*(?:₽|руб|rub|р\.)"
+CURRENCY = r"(?iu)([0-9][0-9\s\u00a0]{0,12}(?:[.,][0-9][0-9]?)?)\s*(?:руб|rub|₽|р\.)"
 
 
 def _in_range(value: Column) -> Column:
@@ -43,7 +43,7 @@ def price_in_text(c: Column | str) -> Column:
 
 def labelled_price(c: Column | str) -> Column:
     """The number behind a word for price and in front of a currency sign."""
-    found = F.regexp_extract(text(c), r"(?iu)(?:цена|стоимость)\D{0,40}?(\d[\d\s ]*)\s*(?:₽|руб)", 1)
+    found = F.regexp_extract(text(c), r"(?iu)(?:цена|стоимость)\D{0,40}?([0-9][0-9\s\u00a0]*)(?:руб|₽)", 1)
     return F.regexp_replace(found, r"\D", "").try_cast("double")
 
 
@@ -52,7 +52,7 @@ def rating(c: Column | str) -> Column:
 
 
 def reviews(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_extract(text(c), r"(?iu)(\d[\d\s ]*)\s*(?:отзыв|оцен)", 1), r"\D", "").try_cast("int")
+    return F.regexp_replace(F.regexp_extract(text(c), r"(?iu)([0-9][0-9\s\u00a0]*)(?:оцен|отзыв)", 1), r"\D", "").try_cast("int")
 
 
 def rounded(c: Column, places: int = 4) -> Column:

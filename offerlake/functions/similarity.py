@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 
 from offerlake.functions.text import let, squeeze, text, token_set, tokens
 
-# --- n-grams ---------------------------------------------------------------------------------------------------------
-
-
+# n-grams
 def grams(c: Column, n: int) -> Column:
     """Every substring of n characters in order; the whole text where it is shorter, nothing where it is empty."""
     size = F.length(c)
@@ -67,9 +65,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-# --- relevance and completeness --------------------------------------------------------------------------------------
-
-
+# relevance and completeness
 def _share(items: Column, test) -> Column:
     return F.size(F.filter(items, test)) / F.greatest(F.size(items), F.lit(1))
 
@@ -90,7 +86,7 @@ def relevance(query: Column | str, title: Column | str, body: Column | str) -> C
         )
         return F.when((q == "") | (b == "") | (F.size(words) == 0), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 4))
 
-    numbers = F.regexp_extract_all(q, F.lit(r"\d+(?:/\d+)?"), F.lit(0))
+    numbers = F.regexp_extract_all(q, F.lit("[0-9]+(?:/[0-9]+)?"), F.lit(0))
     return let(of, q=q, t=t, b=b, words=tokens(q), numbers=numbers, qg=trigrams(q), bg=trigrams(b))
 
 
@@ -130,8 +126,7 @@ def rank_explanation(query: Column | str, title_text: Column | str, price: Colum
     )
 
 
-# --- phonetics -------------------------------------------------------------------------------------------------------
-
+# phonetics
 _SOUNDS = {"1": "бпфв", "2": "цсз", "3": "дт", "4": "л", "5": "мн", "6": "р", "7": "гкх", "8": "жшчщ"}
 _SILENT = "аеёиоуыэюяьъ"
 _CODE = "".join(k * len(v) for k, v in _SOUNDS.items())
@@ -149,13 +144,14 @@ def soundex_ru(c: Column | str, size: int = 4) -> Column:
     return F.when(w == "", F.lit("0" * size)).otherwise(F.substring(F.concat(first, tail, F.lit("0" * size)), 1, size))
 
 
-#: Class of letters and what stands for it, in an order that matters.
-_CLASSES = (("[ъь]", ""), ("йо", "ё"), ("[ыи]", "и"), ("[оёэ]", "о"), ("[аея]", "а"), ("[ую]", "у"), ("[шщ]", "ш"), ("[жз]", "ж"), ("[чц]", "ц"), ("[бп]", "б"), ("[вф]", "в"), ("[гкх]", "г"), ("[дт]", "д"), ("[мн]", "м"), ("[рл]", "р"), ("[сз]", "с"))
+#: Letters, and below each the one that stands for its sound; the rest stand for themselves.
+_SOUNDING = ("ыёэеяющзчпфкхтнл", "иооаауш" + "жцбвггдмр")
 
 
 def metaphone_ru(c: Column | str) -> Column:
-    folded = reduce(lambda w, pair: F.regexp_replace(w, *pair), _CLASSES, F.trim(F.lower(text(c))))
-    return F.regexp_replace(folded, r"(.)\1+", "$1")
+    """Letters by sound, without the signs, and repeats squeezed."""
+    word = F.replace(F.regexp_replace(F.trim(F.lower(text(c))), "[ъь]", ""), F.lit("йо"), F.lit("ё"))
+    return F.regexp_replace(F.translate(word, *_SOUNDING), r"(.)\1+", "$1")
 
 
 def phonetic_key(c: Column | str, algorithm: str = "combined") -> Column:
@@ -170,8 +166,7 @@ def phonetic_similarity(a: Column | str, b: Column | str, algorithm: str = "meta
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
-# --- keyboard --------------------------------------------------------------------------------------------------------
-
+# keyboard
 _ROWS = ("ё1234567890-=", "йцукенгшщзхъ\\", "фывапролджэ", "ячсмитьбю.")
 _SHIFTED = dict(zip('!"№;%:?*()_+', "1234567890-=", strict=True))
 

@@ -10,16 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LATIN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,./`"
-CYRILLIC_KEYS = "йцукенгшщзхъфывапролджэячсмитьбю.ё"
+_KEYS = (("qwertyuiop[]", "йцукенгшщзхъ"), ("asdfghjkl;'", "фывапролджэ"), ("zxcvbnm,./", "ячсмитьбю."), ("`", "ё"))
+LATIN_KEYS, CYRILLIC_KEYS = ("".join(row[k] for row in _KEYS) for k in (0, 1))
 #: Beginnings that tell a real word from a chance one when a query typed in the wrong layout is turned.
-ROOTS = ("шин", "резин", "покрыш", "ноутбук", "принтер", "монитор", "мышь", "клавиатур", "куртк", "брюк", "кроссов", "ботин", "сканер")
+ROOTS = tuple("ботин брюк клавиатур кроссов куртк монитор мышь ноутбук покрыш принтер резин сканер шин".split())
 #: (wrong, right), applied one after another in this order.
 TYPOS = (("кросовки", "кроссовки"), ("нотбук", "ноутбук"), ("принтар", "принтер"), ("орг техника", "оргтехника"))
 CATEGORY_RULES = (
-    ("tires", ("шин", "резин", "покрышк", " r1", " r2", "/")),
-    ("office_tech", ("ноутбук", "принтер", "монитор", "мфу", "клавиатур", "сканер", "проектор", "роутер", "картридж")),
-    ("clothing", ("куртк", "пальто", "брюки", "платье", "кроссовк", "ботинк", "рубашк", "свитер", "джинс", "футболк")),
+    ("tires", ("/", " r1", " r2", *"покрышк резин шин".split())),
+    ("office_tech", tuple("картридж клавиатур монитор мфу ноутбук принтер проектор роутер сканер".split())),
+    ("clothing", tuple("ботинк брюки джинс кроссовк куртк пальто платье рубашк свитер футболк".split())),
 )
 DIGIT_LETTERS = ("03468517@$#%&*", "озчбвслтасноио")
 
@@ -49,11 +49,11 @@ def turn_layout(c: Column | str) -> Column:
 def layout_fix(c: Column | str, roots: Sequence[str] = ROOTS) -> Column:
     """The text as if typed in the Cyrillic layout, where it is all Latin keys and so turned holds a known root."""
     turned = turn_layout(c)
-    return F.when(text(c).rlike(r"^[A-Za-z\[\];',./`\s\-]+$") & any_of(turned, roots), turned).otherwise(text(c))
+    return F.when(text(c).rlike(r"^[\s\-`/.,';\]\[a-zA-Z]+$") & any_of(turned, roots), turned).otherwise(text(c))
 
 
 def tire_size(c: Column | str) -> Column:
-    return F.regexp_replace(text(c), r"(?iu)\b(\d{3})\s*[/\- ]\s*(\d{2})\s*(?:r|р|/|-| )?\s*(\d{2})\b", "$1/$2 R$3")
+    return F.regexp_replace(text(c), r"(?iu)\b([0-9]{3})\s*[-/ ]\s*([0-9]{2})\s*[-/ rр]?\s*([0-9]{2})\b", "$1/$2 R$3")
 
 
 def fix_typos(c: Column, typos: Sequence[tuple[str, str]] = TYPOS) -> Column:
@@ -82,7 +82,7 @@ def normalize_guarded(c: Column | str) -> Column:
 
 def tire_variant(c: Column | str, mark: str = "r") -> Column:
     """A size as W/H and the mark with the rim, and the word for tires in front where none is there."""
-    size = F.regexp_replace(text(c), r"(?iu)\b(\d{3})[/\\](\d{2})\s*[rр](\d{2})\b", f"$1/$2 {mark}$3")
+    size = F.regexp_replace(text(c), r"(?iu)\b([0-9]{3})[\\/]([0-9]{2})\s*[rр]([0-9]{2})\b", f"$1/$2 {mark}$3")
     named = F.lower(size).contains("шин") | F.lower(size).contains("резин")
     return F.when(size.rlike(rf"\b\d{{3}}/\d{{2}} {mark}\d{{2}}\b") & ~named, F.concat(F.lit("шины "), size)).otherwise(size)
 
@@ -104,7 +104,7 @@ def flatten_map(c: Column, most: int = 120) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Words and word/word pairs of more than one character, with repeats."""
-    return F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit("[a-zа-яё0-9]+(?:/[a-zа-яё0-9]+)?"), F.lit(0)), lambda w: F.length(w) > 1)
+    return F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit("[0-9a-zа-яё]+(?:/[0-9a-zа-яё]+)?"), F.lit(0)), lambda w: F.length(w) > 1)
 
 
 def token_set(c: Column | str) -> Column:

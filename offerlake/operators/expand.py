@@ -128,7 +128,7 @@ def query_variants(queries: DataFrame, synonyms: DataFrame, query: str = "query"
 
 
 def tire_variants(q: Column) -> Column:
-    w, h, r = (F.regexp_extract(q, r"(?i)(\d{3})/(\d{2}) R(\d{2})", k) for k in (1, 2, 3))
+    w, h, r = (F.regexp_extract(q, "(?i)([0-9]{3})/([0-9]{2}) R([0-9]{2})", k) for k in (1, 2, 3))
     forms = F.array(F.concat(F.lit("шины "), w, F.lit("/"), h, F.lit(" R"), r), F.concat_ws(" ", w, h, r, F.lit("шины")), F.concat(w, F.lit("-"), h, F.lit("-r"), r, F.lit(" покрышки")))
     return F.when(w != "", forms).otherwise(F.array().cast("array<string>"))
 

@@ -57,7 +57,7 @@ def _query_tokens(query: str) -> list[str]:
 
 def contains_all(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
     """Documents in which every word of more than two characters stands in one of the columns."""
-    words = [w for w in query.lower().split() if len(w) > 2]
+    words = list(filter(lambda part: len(part) >= 3, query.lower().split()))
     test = reduce(lambda a, b: a & b, [reduce(lambda x, y: x | y, [F.lower(X.text(c)).contains(w) for c in columns]) for w in words], F.lit(bool(words)))
     return docs.filter(test)
 

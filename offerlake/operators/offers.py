@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerlake.functions import markup, numbers, similarity, urls
 from offerlake.functions import text as texts
 
-SOURCES = ("wildberries", "ozon", "yandex_market", "runet")
+SOURCES = tuple("wildberries ozon yandex_market runet".split())
 FLOOR, MOST = 0.03, 30
 
 

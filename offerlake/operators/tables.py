@@ -43,7 +43,7 @@ def sitemap_urls(sitemaps: DataFrame, start: list[str], depth: int = 8) -> DataF
     A level a join; a sitemap is read once, and so is a cycle.
     """
     spark = sitemaps.sparkSession
-    links = sitemaps.select("url", F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc"))
+    links = sitemaps.select("url", F.explode(F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<]*?)\s*</loc"), F.lit(1))).alias("loc"))
     frontier = spark.createDataFrame([(u,) for u in start], "url string")
     seen, pages = frontier, None
     for level in range(depth):

@@ -29,9 +29,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# --- text ------------------------------------------------------------------------------------------------------------
-
-
+# text
 @query("normalize_title", "SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM part")
 def normalize_title(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.normalize_title("p_type").alias("title"))
@@ -48,7 +46,7 @@ def clean_html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.clean_text("html").alias("body"))
 
 
-@query("tokens_per_doc", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-zа-яё0-9]+(?:/[a-zа-яё0-9]+)?'), lambda w: length(w) > 1)) AS INT) AS n_tokens, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zа-яё0-9]+'), lambda w: length(w) > 2))) AS INT) AS n_distinct FROM documents")
+@query("tokens_per_doc", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[0-9a-zа-яё]+(?:/[0-9a-zа-яё]+)?'), lambda w: length(w) > 1)) AS INT) AS n_tokens, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zа-яё0-9]+'), lambda w: length(w) > 2))) AS INT) AS n_distinct FROM documents")
 def tokens_per_doc(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), F.size(X.token_set("text")).alias("n_distinct"))
 
@@ -98,9 +96,7 @@ def cache_keys(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.cache_key("text", 128, 5, "base").alias("key"))
 
 
-# --- numbers and URLs ------------------------------------------------------------------------------------------------
-
-
+# numbers and URLs
 @query("price_parse", "SELECT p_partkey AS id, CAST(round(p_retailprice) AS DOUBLE) AS price, p_retailprice AS exact, CASE WHEN p_retailprice >= 10 THEN CAST(round(p_retailprice) AS DOUBLE) END AS stated FROM part")
 def price_parse(spark, sf):
     whole = F.round("p_retailprice").cast("long").cast("string")
@@ -130,9 +126,7 @@ def dedup_url(spark, sf):
     return offers.dedup_by_url(table(spark, sf, "pages"), [F.col("page_id")]).select("page_id", urls.dedup_key("url").alias("key"))
 
 
-# --- markup ----------------------------------------------------------------------------------------------------------
-
-
+# markup
 @query("extract_title_links", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS heading, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"')) AS INT) AS n_links FROM pages")
 def extract_title_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", markup.first_tag("html", "h1").alias("heading"), markup.first_tag("html", "title").alias("title"), F.size(markup.hrefs("html")).alias("n_links"))
@@ -155,8 +149,7 @@ def json_props(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- scoring ---------------------------------------------------------------------------------------------------------
-
+# scoring
 _WANTED = "blue widget"
 _GRAMS = "list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3))"
 _TRIGRAM_SQL = f"""grams AS (SELECT id, {_GRAMS.format("body")} AS a, {_GRAMS.format("'" + _WANTED + "'")} AS b FROM bodies),
@@ -268,8 +261,7 @@ def embedding_cosine_topk(spark, sf):
     return exact.orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 4).alias("cosine"))
 
 
-# --- words -----------------------------------------------------------------------------------------------------------
-
+# words
 _BIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('#' || {0} || '#', i, 2)))"
 
 
@@ -332,9 +324,7 @@ def noise_pairs(spark, sf):
     return spell.noise(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "noisy")
 
 
-# --- expansion -------------------------------------------------------------------------------------------------------
-
-
+# expansion
 @query("synonym_max_weight", f"WITH {WORDS}, {SYNONYMS_SQL} SELECT word, synonym AS target, max(weight) AS weight FROM words JOIN synonyms ON word = term WHERE synonym <> word GROUP BY ALL UNION ALL SELECT word, word, 1.0 FROM words")
 def synonym_max_weight(spark, sf):
     return expand.weighted(words(spark, sf), synonyms(spark)).select("word", "target", "weight")
@@ -380,8 +370,7 @@ def usage_most_common(spark, sf):
     return expand.most_common(table(spark, sf, "events"), "user_id", 10, "ts")
 
 
-# --- full text -------------------------------------------------------------------------------------------------------
-
+# full text
 _BM25 = """WITH t AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents WHERE WHERE_LANG), l AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
   c AS (SELECT (SELECT count(*) FROM documents WHERE WHERE_LANG) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents WHERE WHERE_LANG) AS avgdl), h AS (SELECT doc_id, token, count(*) AS tf FROM t WHERE token IN ('the', 'thing') GROUP BY ALL),
   d AS (SELECT token, count(*) AS df FROM h GROUP BY token)
@@ -408,9 +397,7 @@ def like_fallback(spark, sf):
     return fulltext.contains_all(table(spark, sf, "documents"), "the ing", ["text", "source"]).select("doc_id")
 
 
-# --- tables that live on ---------------------------------------------------------------------------------------------
-
-
+# tables that live on
 @query("upsert_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def upsert_latest(spark, sf):
     e = table(spark, sf, "events")

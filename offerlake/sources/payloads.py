@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from offerlake.functions import text as X
 
 REGIONS = {"москва": -1257786, "санкт-петербург": -1198055, "новосибирск": -364763, "екатеринбург": -5818883}
 #: Upper end of each range of numbers that a shard of the image network serves; beyond the last, one more shard.
-SHARD_ENDS = (143, 287, 431, 719, 1007, 1061, 1115, 1169, 1313, 1601, 1655, 1919, 2045, 2189, 2405, 2621, 2837)
+SHARD_ENDS = tuple(accumulate((143, 144, 144, 288, 288, 54, 54, 54, 144, 288, 54, 264, 126, 144, 216, 216, 216)))
 
 _PRICE = "struct<total: bigint, product: bigint, sale: bigint>"
 SEARCH = (
