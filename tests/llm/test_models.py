@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from offerlake.llm import quality as Q
 from offerlake.llm import recurrent as R
 
-# --- rules -----------------------------------------------------------------------------------------------------------
-
-
+# rules
 def test_rules_find_a_conjunction_and_few_are_kept():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(Q.NUMBERS)))
@@ -86,9 +84,7 @@ def test_scores_of_awkward_rows(spark, awkward, nothing):
     assert flat.filter(" or ".join(f"{k} is null or isnan({k})" for k in Q.NUMBERS)).count() == 0
 
 
-# --- language model --------------------------------------------------------------------------------------------------
-
-
+# language model
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     p = {k: rng.standard_normal(s) * 0.3 for k, s in R.shapes(8, 5, 4).items()}
@@ -172,9 +168,7 @@ def test_language_model_of_awkward_rows(awkward, nothing):
     assert R.language_model(nothing).count() == 0
 
 
-# --- pipeline --------------------------------------------------------------------------------------------------------
-
-
+# pipeline
 def test_pipeline_keeps_and_drops_what_it_should(spark, tmp_path):
     import corpus_pipeline
 

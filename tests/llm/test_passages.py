@@ -22,9 +22,7 @@ def words_of(text):
     return C.hashes(data, starts, ends), rows
 
 
-# --- spans and hashes ------------------------------------------------------------------------------------------------
-
-
+# spans and hashes
 def test_spans_and_hashes_are_those_of_words():
     texts = ["a bc, déf", "", None, "bc", "  x_1 ", "déf"]
     data, off = C.utf8(pa.array(texts)[1:])
@@ -38,9 +36,7 @@ def test_spans_and_hashes_are_those_of_words():
     assert [j - i for i, j in C.chunks(np.array([0, 5, 6, 50, 51, 52]), 10)] == [2, 1, 2]
 
 
-# --- syncmers --------------------------------------------------------------------------------------------------------
-
-
+# syncmers
 @pytest.mark.parametrize("k, s", [(12, 3), (5, 2), (3, 1), (4, 3)])
 def test_closed_syncmers_by_definition(k, s):
     rng = random.Random(k)
@@ -79,9 +75,7 @@ def test_fingerprints_of_awkward_rows(awkward, nothing):
         S.fingerprints(awkward, 3, 3)
 
 
-# --- decontamination -------------------------------------------------------------------------------------------------
-
-
+# decontamination
 def brute_matches(docs, items, least):
     out = {}
     split = lambda t: re.findall(r"\w+", t.lower())
@@ -142,9 +136,7 @@ def test_decontamination_of_awkward_rows(spark, awkward):
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 1
 
 
-# --- packing ---------------------------------------------------------------------------------------------------------
-
-
+# packing
 def cost_of(words, penalties, cut, window, truncated):
     total, i = 0, 0
     for j in cut:
@@ -198,9 +190,7 @@ def test_packing_of_awkward_rows(awkward, nothing):
     assert {r["shard"] for r in rows} == {0, None} and P.pack(nothing).count() == 0
 
 
-# --- token counts ----------------------------------------------------------------------------------------------------
-
-
+# token counts
 def test_merging_and_whole_tokens_against_the_library():
     import tiktoken
 
@@ -232,9 +222,7 @@ def test_counts_against_the_library(spark, sf_small, awkward, nothing):
     assert T.token_counts(nothing).count() == 0
 
 
-# --- licenses --------------------------------------------------------------------------------------------------------
-
-
+# licenses
 def test_automata_against_expressions():
     rng = random.Random(4)
     template = 'a <<beginOptional>>b <<beginOptional>>c<<endOptional>> d<<endOptional>> <<var;match=".{0,2}">> e <<var;match=".+">> f <<beginOptional>>g<<endOptional>>'
