@@ -83,14 +83,14 @@ def append_json(stream: DataFrame, path: str, checkpoint: str):
 class RateLimiter(StatefulProcessor):
     """Lets a request of a domain through when the last one let through is long enough ago.
 
-    State is one time a domain, forgotten after an idle hour.
+    State is one time a domain; with forget_ms it is forgotten after so long without a request.
     """
 
-    def __init__(self, seconds: float = 0.7):
-        self.seconds = seconds
+    def __init__(self, seconds: float = 0.7, forget_ms: int | None = None):
+        self.seconds, self.forget_ms = seconds, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp", ttlDurationMs=3_600_000)
+        self.last = handle.getValueState("last", "ts timestamp", ttlDurationMs=self.forget_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
@@ -107,6 +107,7 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
-def rate_limited(stream: DataFrame, seconds: float = 0.7) -> DataFrame:
-    """stream (domain, url, ts) with whether each request may go."""
-    return stream.groupBy("domain").transformWithStateInPandas(RateLimiter(seconds), "domain string, url string, ts timestamp, passed boolean", "append", "ProcessingTime")
+def rate_limited(stream: DataFrame, seconds: float = 0.7, forget_ms: int | None = None) -> DataFrame:
+    """stream (domain, url, ts) with whether each request may go. Forgetting needs a query that goes on, since it has timers."""
+    out = "domain string, url string, ts timestamp, passed boolean"
+    return stream.groupBy("domain").transformWithStateInPandas(RateLimiter(seconds, forget_ms), out, "append", "ProcessingTime" if forget_ms else "None")

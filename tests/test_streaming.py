@@ -62,3 +62,22 @@ def test_correction_reads_the_dictionary_at_each_batch(spark, tmp_path):
     writer = jobs.corrected(jobs.files(spark, str(tmp_path / "q"), "text string"), words, lambda df, epoch: seen.extend(r["corrected"] for r in df.collect()))
     writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start().awaitTermination(120)
     assert seen == ["телефон"]
+
+
+def test_rate_limits_are_kept_from_batch_to_batch(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    batches = ([("a", "1", at(0)), ("a", "2", at(0.5)), ("b", "3", at(0.5))], [("a", "4", at(0.8)), ("a", "5", at(1.0)), ("b", "6", at(1.0))])
+    for rows in batches:
+        spark.createDataFrame(rows, "domain string, url string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        stream = jobs.files(spark, str(tmp_path / "in"), "domain string, url string, ts timestamp", per_trigger=1)
+        query = jobs.rate_limited(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        ended = query.awaitTermination(60)
+        query.stop()
+        assert ended
+    finally:
+        spark.conf.set(key, old)
+    assert {r["url"]: r["passed"] for r in spark.table("limited").collect()} == {"1": True, "2": False, "3": True, "4": True, "5": False, "6": False}
