@@ -24,7 +24,7 @@ from offerlake.llm.shared import checkpoint
 END, UNKNOWN, SPECIAL = 0, 1, 2
 VOCABULARY, CLASS_SIZE, HIDDEN = 1024, 32, 24
 ROUNDS, RATE = 2, 0.01
-TRAIN_LANES, TRAIN_WINDOW, UPDATE_EVERY = 128, 16, 4
+TRAIN_LANES, TRAIN_WINDOW, UPDATE_EVERY = 128, 16, 1
 LANES, WINDOW = 512, 32
 #: Parts that a model is averaged in.
 BLOCKS = 16
@@ -195,31 +195,34 @@ class Lanes:
 def train(p: Parameters, words: np.ndarray, lengths: np.ndarray, memory: dict, lanes: int = TRAIN_LANES, window: int = TRAIN_WINDOW, every: int = UPDATE_EVERY, rate: float = RATE) -> Parameters:
     """One pass of truncated backpropagation over documents. memory holds the optimiser's moments from call to call.
 
-    The state runs through all windows; each window of `every` in turn gives an update (Adam).
+    The state runs through all windows and each gives its gradient; those of `every` windows make one update (Adam), and so
+    do those that are left at the end.
     """
     p = {k: v.copy() for k, v in p.items()}
     data = Lanes(words, lengths, lanes)
     h = np.zeros((data.inputs.shape[1], p["u"].shape[0]), np.float32)
-    for number, w in enumerate(data.windows(window)):
-        update = number % every == every - 1 or len(data.inputs) <= window * every
+    cuts = list(data.windows(window))
+    gradients, steps = {k: np.zeros_like(v) for k, v in p.items()}, 0
+    for number, w in enumerate(cuts, 1):
         ids, begins, targets = data.inputs[w], data.begins[w], data.targets[w]
-        states, last, kept = forward(p, ids, begins, h, keep=update)
+        states, h, kept = forward(p, ids, begins, h, keep=True)
         live = targets >= 0
-        if update and live.any():
-            gradients = {k: np.zeros_like(v) for k, v in p.items()}
+        if live.any():
             _, back = output(p, states[live], targets[live], gradients)
             from_output = np.zeros_like(states)
             from_output[live] = back
             backward(p, ids, begins, kept, from_output, gradients)
+            steps += int(live.sum())
+        if steps and (number % every == 0 or number == len(cuts)):
             memory["t"] = t = memory.get("t", 0) + 1
-            scale = 1.0 / live.sum()
             for k, g in gradients.items():
-                g *= scale
+                g *= 1.0 / steps
                 m, v = memory.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p[k] += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
-        h = last
+                g[...] = 0
+            steps = 0
     return p
 
 

@@ -153,6 +153,21 @@ def test_training_beats_word_frequencies_on_held_out_documents():
     assert after > 0.75 * before
 
 
+@pytest.mark.parametrize("every", [None, 1, 3])
+def test_every_window_gives_a_gradient(monkeypatch, every):
+    words, lengths = np.tile(np.arange(2, 62, dtype=np.int16), 20), np.full(4, 300)
+    p, seen, real = R.initial(np.ones(64), hidden=4, size=8), [], R.backward
+
+    def spy(p, ids, *rest):
+        seen.append(len(ids))
+        return real(p, ids, *rest)
+
+    monkeypatch.setattr(R, "backward", spy)
+    memory = {}
+    R.train(p, words, lengths, memory, lanes=4, window=16, **({} if every is None else {"every": every}))
+    assert sum(seen) == 301 and memory["t"] == -(-len(seen) // (every or 1))
+
+
 def test_vocabulary_counts_are_exact(spark, documents):
     docs = documents(["a b a", "b c", None, "", "a"]).repartition(3)
     v = R.learn_vocabulary(docs, 64)
