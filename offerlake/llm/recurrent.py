@@ -5,6 +5,9 @@ units whose output softmax is factored into classes of words and words of a clas
 by truncated backpropagation, and the tasks' parameters are averaged; rounds take disjoint parts of the corpus, which
 together are all of it. Documents run through lanes, one after another in each, and a lane's state is carried from window
 to window and reset only where a document begins, so a document's log-likelihood is that of the complete document.
+
+Words beyond the vocabulary are one class to the network and are told apart by their spelling: each byte, and the end,
+given the two bytes before it, as counted over all their occurrences in the corpus. So every word has its own probability.
 """
 
 from __future__ import annotations
@@ -240,14 +243,56 @@ def likelihood(p: Parameters, words: np.ndarray, lengths: np.ndarray, lanes: int
     return total
 
 
-def _hashed(batches, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """Batch, range of its rows, hashes of their words and words of each row."""
+def _worded(batches, column: int) -> Iterator[tuple]:
+    """Batch, range of its rows, hashes of their words, words of each row, and the bytes, starts and ends of the words."""
     for batch in batches:
         data, off = C.utf8(batch.column(column))
         for i, j in C.chunks(off):
             part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
             starts, ends, rows = C.spans(part, edges)
-            yield batch, i, j, C.hashes(part, starts, ends), np.bincount(rows, minlength=j - i)
+            yield batch, i, j, C.hashes(part, starts, ends), np.bincount(rows, minlength=j - i), part, starts, ends
+
+
+def _hashed(batches, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """Batch, range of its rows, hashes of their words and words of each row."""
+    for found in _worded(batches, column):
+        yield found[:5]
+
+
+def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each span and its end: the two bytes before it and the byte in one number, and the span; 0 is none."""
+    size = ends - starts + 1
+    span = np.repeat(np.arange(len(starts)), size)
+    place = np.arange(len(span)) - np.repeat(np.cumsum(size) - size, size)
+    at = starts[span] + place
+    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(1, np.uint8)])  # byte k is at k + 2
+    this = np.where(place < size[span] - 1, padded[at + 2], 0).astype(np.int64)
+    one, two = np.where(place > 0, padded[at + 1], 0).astype(np.int64), np.where(place > 1, padded[at], 0).astype(np.int64)
+    return two << 16 | one << 8 | this, span
+
+
+class Spelling:
+    """Log-probability of words by their bytes; learned from (trigram, count) rows, each context's bytes smoothed by one."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, n = codes[order].astype(np.int64), n[order].astype(np.float64)
+        self.contexts, at = np.unique(self.codes >> 8, return_inverse=True)
+        total = np.bincount(at, n, len(self.contexts)) + 256
+        self.unseen = -np.log(total)
+        self.logp = np.log(n + 1) + self.unseen[at]
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each span."""
+        if not len(starts):
+            return np.zeros(0)
+        codes, span = trigrams(data, starts, ends)
+        if not len(self.codes):
+            return np.bincount(span, minlength=len(starts)) * -np.log(256.0)
+        context = np.minimum(np.searchsorted(self.contexts, codes >> 8), len(self.contexts) - 1)
+        logp = np.where(self.contexts[context] == codes >> 8, self.unseen[context], -np.log(256.0))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.bincount(span, np.where(self.codes[at] == codes, self.logp[at], logp), len(starts))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -303,12 +348,39 @@ def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return Vocabulary([tuple(r) for r in top], total, docs.count(), size)
 
 
-def _shards(batches, vocabulary: Vocabulary, column: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Rows (batch, first, last), word numbers and words of each row, of about SHARD_WORDS words at a time."""
+def learn_spelling(docs: DataFrame, vocabulary: Vocabulary) -> Spelling:
+    """The spelling of all occurrences of words beyond the vocabulary; docs has a column text. Tasks send counts alone."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        counts = np.zeros(1 << 24, np.int64)
+        for _, _, _, hashed, _, data, starts, ends in _worded(batches, 0):
+            rare = known.value(hashed) == UNKNOWN
+            codes, n = np.unique(trigrams(data, starts[rare], ends[rare])[0], return_counts=True)
+            counts[codes] += n
+        codes = np.flatnonzero(counts)
+        for k in range(0, len(codes), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 50_000]), pa.array(counts[codes[k : k + 50_000]])], names=["code", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # trigrams of bytes
+    return Spelling(rows["code"].to_numpy(), rows["n"].to_numpy())
+
+
+def _shards(batches, vocabulary: Vocabulary, column: int, spelling: Spelling | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Rows (batch, first, last), word numbers and words of each row, of about SHARD_WORDS words at a time.
+
+    With spelling, a row has a fourth part: the log-probability of the spelling of each document's unknown words.
+    """
     held, words, lengths, size = [], [], [], 0
-    for batch, i, j, hashed, n in _hashed(batches, column):
-        held.append((batch, i, j))
-        words.append(vocabulary(hashed))
+    for batch, i, j, hashed, n, data, starts, ends in _worded(batches, column):
+        numbers = vocabulary(hashed)
+        if spelling is None:
+            held.append((batch, i, j))
+        else:
+            rare = numbers == UNKNOWN
+            document = np.repeat(np.arange(j - i), n)[rare]
+            held.append((batch, i, j, np.bincount(document, spelling(data, starts[rare], ends[rare]), j - i)))
+        words.append(numbers)
         lengths.append(n)
         size += len(hashed)
         if size >= SHARD_WORDS:
@@ -358,19 +430,19 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Para
     return p
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, p: Parameters) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, spelling: Spelling, p: Parameters) -> DataFrame:
     """doc_id, words, unknown words and log-likelihood of each row of docs (doc_id, text); nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, p))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, spelling, p))
 
     def run(batches):
-        known, own = sent.value
-        for held, words, lengths in _shards(batches, known, 1):
+        known, spelled, own = sent.value
+        for held, words, lengths in _shards(batches, known, 1, spelled):
             logp = likelihood(own, words, lengths)
             unknown = np.bincount(np.repeat(np.arange(len(lengths)), lengths), words == UNKNOWN, len(lengths)).astype(np.int32)
             at = 0
-            for batch, i, j in held:
+            for batch, i, j, spelling in held:
                 rows = slice(at, at + j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lengths[rows].astype(np.int32)), pa.array(unknown[rows]), pa.array(logp[rows])], names=["doc_id", "n_words", "n_unknown", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lengths[rows].astype(np.int32)), pa.array(unknown[rows]), pa.array(logp[rows] + spelling)], names=["doc_id", "n_words", "n_unknown", "log_likelihood"])
                 at += j - i
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -381,9 +453,9 @@ def language_model(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and the likelihood of its end alone; a null id stays null; repeated rows each give
     their row; other columns aren't read. A word is a run of letters, digits and underscores in lower case; one that isn't
-    among the most frequent counts as the unknown word.
+    among the most frequent is the unknown word to the network, and its spelling gives the rest of its probability.
     """
     C.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
     vocabulary = learn_vocabulary(source)
-    return score(source, vocabulary, learn(source, vocabulary))
+    return score(source, vocabulary, learn_spelling(source, vocabulary), learn(source, vocabulary))

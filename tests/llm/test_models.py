@@ -174,6 +174,26 @@ def test_vocabulary_counts_are_exact(spark, documents):
     assert sorted(v.frequency[v.frequency > 0].tolist()) == [1, 2, 3, 5] and v.frequency[R.END] == 5
 
 
+def test_spelling_probabilities_sum_to_one_and_words_are_told_apart(spark, documents):
+    text = b"abba abd zz"
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = np.array([0, 5, 9]), np.array([4, 8, 11])
+    codes, span = R.trigrams(data, starts, ends)
+    letters = [(c >> 16, c >> 8 & 255, c & 255) for c in codes[span == 1].tolist()]
+    assert letters == [(0, 0, 97), (0, 97, 98), (97, 98, 100), (98, 100, 0)]
+    spelling = R.Spelling(*np.unique(codes, return_counts=True))
+    for context in (0, 97, 97 << 8 | 98, 5):
+        after = [context << 8 | b for b in range(256)]
+        at = dict(zip(spelling.codes.tolist(), spelling.logp.tolist(), strict=True))
+        unseen = dict(zip(spelling.contexts.tolist(), spelling.unseen.tolist(), strict=True)).get(context, -np.log(256))
+        assert np.isclose(sum(np.exp(at.get(c, unseen)) for c in after), 1)
+    common = [f"w{i}x" for i in range(R.VOCABULARY - R.SPECIAL)]
+    rare = [f"abba{c}" for c in "ceghi"]
+    rows = [" ".join(common)] * 3 + [" ".join(rare), common[0] + " abbac abbae", common[0] + " qzvkj xjqwv"]
+    found = [r["log_likelihood"] for r in R.language_model(documents(rows)).orderBy("doc_id").collect()]
+    assert found[4] > found[5] + 5
+
+
 def test_language_model_of_awkward_rows(awkward, nothing):
     rows = R.language_model(awkward).collect()
     assert len(rows) == awkward.count() and all(np.isfinite(r["log_likelihood"]) and r["log_likelihood"] < 0 for r in rows)
