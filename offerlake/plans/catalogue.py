@@ -261,6 +261,16 @@ def embedding_cosine_topk(spark, sf):
     return exact.orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 4).alias("cosine"))
 
 
+@query("embedding_neighbours_topk", "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS c FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, round(c, 4) AS cosine FROM r WHERE place <= 10")
+def embedding_neighbours_topk(spark, sf):
+    """embedding_cosine_topk with every row as the query."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    one = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = e.crossJoin(one).select("query_id", "vec_id", similarity.vector_cosine(F.col("embedding"), F.col("q")).alias("c"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
+    return exact.withColumn("place", place).filter("place <= 10").select("query_id", "vec_id", F.round("c", 4).alias("cosine"))
+
+
 # words
 _BIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('#' || {0} || '#', i, 2)))"
 
