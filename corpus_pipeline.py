@@ -25,7 +25,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; those that nothing but scraps would be left of go."""
+    """Documents without lines that an earlier one has; those that no two words would be left of go."""
     kept = linededup.dedup_lines(docs, drop_emptied=True)
     length = F.length("text").cast("bigint")
     return kept.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

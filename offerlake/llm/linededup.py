@@ -24,6 +24,8 @@ PROBES = 2
 #: fuller filter suspects more lines, and all that are suspected are confirmed exactly.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _SEGMENT = 1 << 20
+#: A letter of a script that sets no spaces between words.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def filter_bits(docs: DataFrame) -> int:
@@ -157,8 +159,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int | None =
     A line is what stands between line breaks, compared without spaces at its ends; one of fewer than min_words words
     always stays. All columns of docs are kept and text is replaced; ``lines_dropped`` is added (a column of that name in
     docs gives way). Rows that agree in doc_id and text count as one document and get the same result. A null text stays
-    null and an empty one empty. With drop_emptied, documents that have lost lines and have none of min_words words left are
-    removed.
+    null and an empty one empty. With drop_emptied, documents that have lost lines and have no two words
+    left, on whatever lines, are removed (with min_words of 1, those that have none); a letter of a script without spaces
+    counts as a word here.
     """
     C.small_batches(docs.sparkSession)
     rest = docs.drop("lines_dropped", "row_key")
@@ -169,8 +172,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int | None =
     text = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(kept)
     out = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce(F.size("numbers"), F.lit(0)).alias("lines_dropped"))
     if drop_emptied:
-        more = rf"(?:[\x00-\x20&&[^\n]]++[^\x00-\x20]++){{{min_words - 1}}}" if min_words > 1 else ""
-        out = out.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(rf"[^\x00-\x20]++{more}"))
+        more = rf"[^\x00-\x20][\x00-\x20]++[^\x00-\x20]|{_UNSPACED}[^\x00-\x20]" if min_words > 1 else r"[^\x00-\x20]"
+        out = out.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(more))
     return out
 
 

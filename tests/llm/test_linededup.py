@@ -60,6 +60,13 @@ def test_awkward_rows(awkward, nothing):
     assert L.dedup_lines(nothing).count() == 0
 
 
+def test_short_lines_and_unspaced_scripts_stay(documents):
+    left = ["apples\npears\nplums", "two words", "这是一个没有空格的段落。", "ประโยคนี้ไม่มีช่องว่าง"]
+    rows = ["the footer of every page", *[f"the footer of every page\n{t}" for t in left], "the footer of every page"]
+    kept = L.dedup_lines(documents(rows), drop_emptied=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in kept] == [rows[0], *left]
+
+
 def test_scraps_go_with_their_document(documents):
     rows = ["the first line of it\nLes.", "the first line of it\nUn.", "the first line of it\nUn. and more to keep", "Les."]
     kept = L.dedup_lines(documents(rows), drop_emptied=True).orderBy("doc_id").collect()
