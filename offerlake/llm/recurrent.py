@@ -6,13 +6,16 @@ by truncated backpropagation, and the tasks' parameters are averaged; rounds tak
 together are all of it. Documents run through lanes, one after another in each, and a lane's state is carried from window
 to window and reset only where a document begins, so a document's log-likelihood is that of the complete document.
 
-Words beyond the vocabulary are one class to the network and are told apart by their spelling: each byte, and the end,
-given the two bytes before it, as counted over all their occurrences in the corpus. So every word has its own probability.
+The vocabulary is every word of the corpus. The network tells the most frequent ones apart; those behind them are bands, each
+of twice as many words as the one before, that are symbols to the network, and within a band a word has its share of the
+band's occurrences in the corpus. Counts of all but the last band are a table of bounded size; the last band takes in all
+rarer words, however many there are, and their occurrences are joined with their counts by a shuffle.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,16 +27,17 @@ from pyspark.sql import functions as F
 from offerlake.llm import columnar as C
 from offerlake.llm.shared import checkpoint
 
-END, UNKNOWN, SPECIAL = 0, 1, 2
+#: Symbols 1 to BANDS are the bands of rarer words, the last for those beyond the table.
+END, BANDS = 0, 9
+SPECIAL = 1 + BANDS
 VOCABULARY, CLASS_SIZE, HIDDEN = 1024, 32, 24
 ROUNDS, RATE = 2, 0.01
-TRAIN_LANES, TRAIN_WINDOW, UPDATE_EVERY = 128, 16, 1
-LANES, WINDOW = 512, 32
+TRAIN_LANES, TRAIN_WINDOW, UPDATE_EVERY = 384, 16, 1
+LANES, WINDOW = 384, 32
 #: Parts that a model is averaged in.
 BLOCKS = 16
 #: Words that a task holds at a time.
 SHARD_WORDS = 4_000_000
-SCHEMA = "doc_id bigint, n_words int, n_unknown int, log_likelihood double"
 
 Parameters = dict[str, np.ndarray]
 
@@ -65,41 +69,58 @@ def unflatten(flat: np.ndarray, like: Parameters) -> Parameters:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def forward(p: Parameters, ids: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """States after each step (steps, lanes, hidden), the last one, and what backward() needs. ids, begins: (steps, lanes).
 
-
-def forward(p: Parameters, ids: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """States after each step (steps, lanes, hidden), the last one, and what backward() needs. ids, begins: (steps, lanes)."""
-    hidden = h.shape[1]
-    inputs = p["x"][ids]
-    states, kept = np.empty((len(ids), *h.shape), np.float32), []
-    for t in range(len(ids)):
-        if begins[t].any():
-            h = h * ~begins[t][:, None]
-        g = h @ p["u"]
-        zr = _sigmoid(inputs[t, :, : 2 * hidden] + g[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        n = np.tanh(inputs[t, :, 2 * hidden :] + r * g[:, 2 * hidden :])
+    In memory the lanes come last, so that each operation runs along them.
+    """
+    hidden, h, across = h.shape[1], h.T, p["u"].T.copy()
+    gates = np.take(np.ascontiguousarray(p["x"].T), ids, axis=1, mode="clip")  # of inputs at first; then z, r and n of each step
+    states = np.empty((hidden, *ids.shape), np.float32)
+    before, inner = (np.empty_like(states), np.empty_like(states)) if keep else (None, None)
+    for t, first in enumerate(begins.any(axis=1).tolist()):
+        if first:
+            h = h * ~begins[t]
+        g = across @ h
+        zr, n = gates[: 2 * hidden, t], gates[2 * hidden :, t]
+        zr += g[: 2 * hidden]
+        _logistic(zr)
         if keep:
-            kept.append((h, z, r, n, g[:, 2 * hidden :]))
-        h = n + z * (h - n)
-        states[t] = h
-    return states, h, kept
+            before[:, t], inner[:, t] = h, g[2 * hidden :]
+        n += zr[hidden:] * g[2 * hidden :]
+        n *= 2  # tanh(y) is 2 logistic(2 y) - 1
+        _logistic(n)
+        n *= 2
+        n -= 1
+        h = h - n
+        h *= zr[:hidden]
+        h += n
+        states[:, t] = h
+    return states.transpose(1, 2, 0), h.T, (before, inner, gates)
+
+
+def _logistic(x: np.ndarray) -> None:
+    """In place; by exp, which is much faster than tanh. Where exp overflows the result is zero, as it should be."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 def _choice(x: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each row's target under the softmax of its logits x, which are overwritten, and its gradient."""
-    row = np.arange(len(x))
-    np.minimum(x, 80, out=x)  # where exp is still finite
-    chosen = x[row, target]
+    """Log-probability of each column's target under the softmax of its logits x, which are overwritten, and its gradient."""
+    at = target.astype(np.int64) * x.shape[1] + np.arange(x.shape[1])
+    if x.size and x.max() > 80:
+        np.minimum(x, 80, out=x)  # where exp is still finite
+    chosen = x.ravel()[at]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x.sum(axis=0)
     logp = chosen - np.log(total)
     if not gradient:
         return logp, None
-    x *= (-1 / total)[:, None]
-    x[row, target] += 1
+    x *= -1 / total
+    x.ravel()[at] += 1
     return logp, x
 
 
@@ -111,62 +132,76 @@ def output(p: Parameters, states: np.ndarray, targets: np.ndarray, gradients: Pa
     size = p["bw"].shape[1]
     group, word = (targets // size).astype(np.int16), targets % size
     order = np.argsort(group, kind="stable")
-    states, group, word = states[order], group[order], word[order]
-    x = states @ p["wc"]
-    x += p["bc"]
+    states, group, word = np.take(states.T, order, axis=1, mode="clip"), group[order], word[order]
+    x = p["wc"].T @ states
+    x += p["bc"][:, None]
     logp, d = _choice(x, group, gradients is not None)
     back = None
     if gradients is not None:
-        gradients["wc"] += states.T @ d
-        gradients["bc"] += d.sum(axis=0)
-        back = d @ p["wc"].T
+        gradients["wc"] += states @ d.T
+        gradients["bc"] += d.sum(axis=1)
+        back = p["wc"] @ d
     cut = np.searchsorted(group, np.arange(len(p["bc"]) + 1))
-    for c in np.flatnonzero(np.diff(cut)):
+    for c in np.flatnonzero(np.diff(cut)).tolist():
         at = slice(cut[c], cut[c + 1])
-        x = states[at] @ p["ww"][c]
-        x += p["bw"][c]
+        x = p["ww"][c].T @ states[:, at]
+        x += p["bw"][c][:, None]
         chosen, d = _choice(x, word[at], gradients is not None)
         logp[at] += chosen
         if gradients is not None:
-            gradients["ww"][c] += states[at].T @ d
-            gradients["bw"][c] += d.sum(axis=0)
-            back[at] += d @ p["ww"][c].T
+            gradients["ww"][c] += states[:, at] @ d.T
+            gradients["bw"][c] += d.sum(axis=1)
+            back[:, at] += p["ww"][c] @ d
     out = np.empty(len(order))
     out[order] = logp
     if back is not None:
-        moved = np.empty_like(back)
-        moved[order] = back
-        back = moved
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        back = np.take(back, place, axis=1, mode="clip").T
     return out, back
 
 
-def backward(p: Parameters, ids: np.ndarray, begins: np.ndarray, kept: list, from_output: np.ndarray, gradients: Parameters) -> None:
+def backward(p: Parameters, ids: np.ndarray, begins: np.ndarray, kept: tuple, from_output: np.ndarray, gradients: Parameters) -> None:
     """Adds the gradients of one window, back to its first step and no further."""
     hidden = p["u"].shape[0]
-    ahead = np.zeros(from_output.shape[1:], np.float32)
-    into = np.empty((*ids.shape, 3 * hidden), np.float32)
+    before, inner, gates = kept
+    z, r, n = gates[:hidden], gates[hidden : 2 * hidden], gates[2 * hidden :]
+    from_output, begun = from_output.transpose(2, 0, 1), begins.any(axis=1).tolist()
+    ahead = np.zeros((hidden, ids.shape[1]), np.float32)
+    into, through = np.empty(gates.shape, np.float32), np.empty(gates.shape, np.float32)
+    # what a step's gradient is multiplied by, for all steps at once
+    to_n, to_z, to_r = 1 - n * n, 1 - z, inner * (1 - r)
+    to_n *= to_z
+    to_z *= z
+    to_z *= before - n
+    to_r *= r
     for t in range(len(ids) - 1, -1, -1):
-        h, z, r, n, gn = kept[t]
-        dh = from_output[t] + ahead
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        into[t] = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        gradients["u"] += h.T @ dg
-        ahead = (dh * z + dg @ p["u"].T) * ~begins[t][:, None]
-    flat, into = ids.ravel(), into.reshape(-1, 3 * hidden)
+        ahead += from_output[:, t]
+        dg, dn = through[:, t], into[2 * hidden :, t]
+        np.multiply(ahead, to_z[:, t], out=dg[:hidden])
+        np.multiply(ahead, to_n[:, t], out=dn)
+        np.multiply(dn, to_r[:, t], out=dg[hidden : 2 * hidden])
+        np.multiply(dn, r[:, t], out=dg[2 * hidden :])
+        ahead *= z[:, t]
+        ahead += p["u"] @ dg
+        if begun[t]:
+            ahead *= ~begins[t]
+    into[: 2 * hidden] = through[: 2 * hidden]
+    gradients["u"] += before.reshape(hidden, -1) @ through.reshape(3 * hidden, -1).T
+    flat = ids.ravel()
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    gradients["x"][flat[order[first]]] += np.add.reduceat(into[order], first, axis=0)
+    last = np.flatnonzero(np.diff(flat[order], append=-1))
+    sums = np.cumsum(np.take(into.reshape(3 * hidden, -1), order, axis=1, mode="clip"), axis=1)[:, last]  # a word's is a difference of sums
+    sums[:, 1:] -= sums[:, :-1].copy()
+    gradients["x"][flat[order[last]]] += sums.T
 
 
 class Lanes:
-    """Documents in lanes of about equal length: input, target (-1 behind the end) and document of each step."""
+    """Documents in lanes of about equal length, longer ones first: input, target (-1 behind the end) and document of each step."""
 
     def __init__(self, words: np.ndarray, lengths: np.ndarray, most: int):
         n = lengths + 1
-        count = int(min(most, len(n), max(1, -(-int(n.sum()) // int(n.max())))))
+        count = min(most, len(n))
         filled, place = np.zeros(count, np.int64), np.zeros((len(n), 2), np.int64)
         order = np.argsort(-n, kind="stable")
         heap = [(0, k) for k in range(count)]
@@ -175,6 +210,10 @@ class Lanes:
             place[d] = (k, length)
             heapq.heappush(heap, (length + int(n[d]), k))
             filled[k] = length + n[d]
+        by_length = np.argsort(-filled, kind="stable")
+        rank = np.empty(count, np.int64)
+        rank[by_length] = np.arange(count)
+        self.filled, place[:, 0] = filled[by_length], rank[place[:, 0]]
         steps = int(filled.max())
         self.inputs = np.zeros((steps, count), np.int16)
         self.targets = np.full((steps, count), -1, np.int16)
@@ -190,9 +229,10 @@ class Lanes:
             self.document[at : end + 1, k] = d
             self.begins[at, k] = True
 
-    def windows(self, size: int) -> Iterator[slice]:
+    def windows(self, size: int) -> Iterator[tuple[slice, slice]]:
+        """Steps and the lanes that haven't ended before them; a long document's lane is not waited for by others."""
         for at in range(0, len(self.inputs), size):
-            yield slice(at, min(at + size, len(self.inputs)))
+            yield slice(at, min(at + size, len(self.inputs))), slice(0, int((self.filled > at).sum()))
 
 
 def train(p: Parameters, words: np.ndarray, lengths: np.ndarray, memory: dict, lanes: int = TRAIN_LANES, window: int = TRAIN_WINDOW, every: int = UPDATE_EVERY, rate: float = RATE) -> Parameters:
@@ -208,13 +248,17 @@ def train(p: Parameters, words: np.ndarray, lengths: np.ndarray, memory: dict, l
     gradients, steps = {k: np.zeros_like(v) for k, v in p.items()}, 0
     for number, w in enumerate(cuts, 1):
         ids, begins, targets = data.inputs[w], data.begins[w], data.targets[w]
-        states, h, kept = forward(p, ids, begins, h, keep=True)
+        states, h, kept = forward(p, ids, begins, h[w[1]], keep=True)
         live = targets >= 0
-        if live.any():
+        if live.all():
+            _, back = output(p, states.reshape(-1, states.shape[2]), targets.ravel(), gradients)
+            backward(p, ids, begins, kept, back.reshape(states.shape), gradients)
+        elif live.any():
             _, back = output(p, states[live], targets[live], gradients)
             from_output = np.zeros_like(states)
             from_output[live] = back
             backward(p, ids, begins, kept, from_output, gradients)
+        if live.any():
             steps += int(live.sum())
         if steps and (number % every == 0 or number == len(cuts)):
             memory["t"] = t = memory.get("t", 0) + 1
@@ -236,63 +280,24 @@ def likelihood(p: Parameters, words: np.ndarray, lengths: np.ndarray, lanes: int
     data, total = Lanes(words, lengths, lanes), np.zeros(len(lengths))
     h = np.zeros((data.inputs.shape[1], p["u"].shape[0]), np.float32)
     for w in data.windows(window):
-        states, h, _ = forward(p, data.inputs[w], data.begins[w], h)
+        states, h, _ = forward(p, data.inputs[w], data.begins[w], h[w[1]])
         live = data.targets[w] >= 0
-        logp, _ = output(p, states[live], data.targets[w][live])
+        if live.all():
+            logp, _ = output(p, states.reshape(-1, states.shape[2]), data.targets[w].ravel())
+        else:
+            logp, _ = output(p, states[live], data.targets[w][live])
         total += np.bincount(data.document[w][live], logp, len(lengths))
     return total
 
 
-def _worded(batches, column: int) -> Iterator[tuple]:
-    """Batch, range of its rows, hashes of their words, words of each row, and the bytes, starts and ends of the words."""
+def _hashed(batches, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """Batch, range of its rows, hashes of their words and words of each row."""
     for batch in batches:
         data, off = C.utf8(batch.column(column))
         for i, j in C.chunks(off):
             part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
             starts, ends, rows = C.spans(part, edges)
-            yield batch, i, j, C.hashes(part, starts, ends), np.bincount(rows, minlength=j - i), part, starts, ends
-
-
-def _hashed(batches, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """Batch, range of its rows, hashes of their words and words of each row."""
-    for found in _worded(batches, column):
-        yield found[:5]
-
-
-def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each span and its end: the two bytes before it and the byte in one number, and the span; 0 is none."""
-    size = ends - starts + 1
-    span = np.repeat(np.arange(len(starts)), size)
-    place = np.arange(len(span)) - np.repeat(np.cumsum(size) - size, size)
-    at = starts[span] + place
-    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(1, np.uint8)])  # byte k is at k + 2
-    this = np.where(place < size[span] - 1, padded[at + 2], 0).astype(np.int64)
-    one, two = np.where(place > 0, padded[at + 1], 0).astype(np.int64), np.where(place > 1, padded[at], 0).astype(np.int64)
-    return two << 16 | one << 8 | this, span
-
-
-class Spelling:
-    """Log-probability of words by their bytes; learned from (trigram, count) rows, each context's bytes smoothed by one."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        order = np.argsort(codes)
-        self.codes, n = codes[order].astype(np.int64), n[order].astype(np.float64)
-        self.contexts, at = np.unique(self.codes >> 8, return_inverse=True)
-        total = np.bincount(at, n, len(self.contexts)) + 256
-        self.unseen = -np.log(total)
-        self.logp = np.log(n + 1) + self.unseen[at]
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each span."""
-        if not len(starts):
-            return np.zeros(0)
-        codes, span = trigrams(data, starts, ends)
-        if not len(self.codes):
-            return np.bincount(span, minlength=len(starts)) * -np.log(256.0)
-        context = np.minimum(np.searchsorted(self.contexts, codes >> 8), len(self.contexts) - 1)
-        logp = np.where(self.contexts[context] == codes >> 8, self.unseen[context], -np.log(256.0))
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.bincount(span, np.where(self.codes[at] == codes, self.logp[at], logp), len(starts))
+            yield batch, i, j, C.hashes(part, starts, ends), np.bincount(rows, minlength=j - i)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -323,64 +328,88 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The most frequent words by hash, numbered by rank behind the special ones, and the corpus's counts by number."""
-
-    def __init__(self, rows: list[tuple[int, int]], total: int, documents: int, size: int = VOCABULARY):
-        words = np.array([w for w, _ in rows], np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.words, self.number = words[order], (order + SPECIAL).astype(np.int16)
-        self.frequency = np.zeros(size)
-        self.frequency[SPECIAL : SPECIAL + len(rows)] = [n for _, n in rows]
-        self.frequency[END], self.frequency[UNKNOWN] = documents, total - sum(n for _, n in rows)
-
-    def __call__(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashed), UNKNOWN, np.int16)
-        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-        return np.where(self.words[at] == hashed, self.number[at], np.int16(UNKNOWN)).astype(np.int16)
+    """Words by hash: their number for the network, and the log of a word's share of the occurrences under its number.
 
+    words and counts: the table of the most frequent words of the corpus, of `total` words and `documents` documents. By rank
+    the first have numbers of their own, and each band is twice as long as all before it; the last band is all other words.
+    """
 
-def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The vocabulary of all documents; of equal counts the word of the lesser hash comes first. docs has a column text."""
-    counts = checkpoint(word_counts(docs))
-    top = counts.orderBy(F.desc("n"), "word").limit(size - SPECIAL).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary([tuple(r) for r in top], total, docs.count(), size)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, documents: int, size: int = VOCABULARY):
+        order, own = np.lexsort((words, -counts)), size - SPECIAL
+        words, counts = words[order], counts[order].astype(np.float64)
+        rank = np.arange(len(words))
+        band = np.minimum(1 + np.floor(np.log2(np.maximum(rank, own) / own)).astype(np.int64), BANDS - 1)
+        number = np.where(rank < own, rank + SPECIAL, band)
+        self.frequency = np.bincount(number, counts, size)
+        self.frequency[END], self.frequency[BANDS] = documents, total - counts.sum()
+        share = np.where(rank < own, 0.0, np.log(counts / self.frequency[number]))
+        by_hash = np.argsort(words)
+        # one entry more, for words that aren't found
+        self.words = np.append(words[by_hash], np.uint64(0))
+        self.number = np.append(number[by_hash], BANDS).astype(np.int16)
+        self.share = np.append(share[by_hash], 0.0).astype(np.float32)
+        # words are looked for from the place of the first with the same upper bits
+        self.shift = np.uint64(64 - max(1, int(len(words)).bit_length() + 1))
+        upper = (self.words[:-1] >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(upper, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.first).max(initial=0))
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """The table's place of each word; behind its end for those beyond it."""
+        upper, end = (hashed >> self.shift).astype(np.int64), len(self.words) - 1
+        at, last = self.first[upper], self.first[upper + 1]
+        open_ = np.flatnonzero((self.words[at] != hashed) | (at == last))
+        for _ in range(self.longest):
+            at[open_] += 1
+            over = at[open_] >= last[open_]
+            at[open_[over]] = end
+            open_ = open_[~over]
+            open_ = open_[self.words[at[open_]] != hashed[open_]]
+            if not len(open_):
+                break
+        return at
 
+    def __call__(self, hashed: np.ndarray) -> np.ndarray:
+        return self.number[self.find(hashed)]
 
-def learn_spelling(docs: DataFrame, vocabulary: Vocabulary) -> Spelling:
-    """The spelling of all occurrences of words beyond the vocabulary; docs has a column text. Tasks send counts alone."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
-        counts = np.zeros(1 << 24, np.int64)
-        for _, _, _, hashed, _, data, starts, ends in _worded(batches, 0):
-            rare = known.value(hashed) == UNKNOWN
-            codes, n = np.unique(trigrams(data, starts[rare], ends[rare])[0], return_counts=True)
-            counts[codes] += n
-        codes = np.flatnonzero(counts)
-        for k in range(0, len(codes), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 50_000]), pa.array(counts[codes[k : k + 50_000]])], names=["code", "n"])
+def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of all documents, and the counts of all their words; docs has a column text.
 
-    rows = docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # trigrams of bytes
-    return Spelling(rows["code"].to_numpy(), rows["n"].to_numpy())
+    The table has the words of so great a count that they fit into all bands but the last; words of equal counts are all in
+    it or all beyond it. Counts above 1,024 are told apart by their first ten bits there, so that the driver sees a bounded
+    number of them.
+    """
+    counts = checkpoint(word_counts(docs))
+    coarse = F.expr("shiftright(n, greatest(cast(floor(log2(n)) as int) - 9, 0))")
+    by_count = counts.groupBy(F.floor(F.log2("n")), coarse).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toArrow().sort_by([("least", "descending")])
+    fit = np.cumsum(by_count["words"].to_numpy()) <= (size - SPECIAL) << (BANDS - 1)
+    least = int(by_count["least"].to_numpy()[fit].min(initial=1 << 62))
+    table = counts.filter(F.col("n") >= least).toArrow()
+    vocabulary = Vocabulary(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), int(by_count["n"].to_numpy().sum()), docs.count(), size)
+    return vocabulary, counts
 
 
-def _shards(batches, vocabulary: Vocabulary, column: int, spelling: Spelling | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _shards(batches, vocabulary: Vocabulary, column: int, rare: bool = False) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Rows (batch, first, last), word numbers and words of each row, of about SHARD_WORDS words at a time.
 
-    With spelling, a row has a fourth part: the log-probability of the spelling of each document's unknown words.
+    With rare, rows have more parts: the words' shares of their bands by row, and row, hash and count of each word beyond
+    the table.
     """
     held, words, lengths, size = [], [], [], 0
-    for batch, i, j, hashed, n, data, starts, ends in _worded(batches, column):
-        numbers = vocabulary(hashed)
-        if spelling is None:
+    for batch, i, j, hashed, n in _hashed(batches, column):
+        if not rare:
             held.append((batch, i, j))
+            words.append(vocabulary(hashed))
         else:
-            rare = numbers == UNKNOWN
-            document = np.repeat(np.arange(j - i), n)[rare]
-            held.append((batch, i, j, np.bincount(document, spelling(data, starts[rare], ends[rare]), j - i)))
-        words.append(numbers)
+            found, row = vocabulary.find(hashed), np.repeat(np.arange(j - i), n)
+            words.append(vocabulary.number[found])
+            beyond = np.flatnonzero(words[-1] == BANDS)
+            beyond = beyond[np.lexsort((hashed[beyond], row[beyond]))]
+            first = np.flatnonzero((np.diff(row[beyond], prepend=-1) != 0) | (np.diff(hashed[beyond], prepend=~hashed[beyond[:1]]) != 0))
+            times = np.diff(first, append=len(beyond))
+            beyond = beyond[first]
+            held.append((batch, i, j, np.bincount(row, vocabulary.share[found], j - i), row[beyond], hashed[beyond], times))
         lengths.append(n)
         size += len(hashed)
         if size >= SHARD_WORDS:
@@ -430,32 +459,50 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Para
     return p
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, spelling: Spelling, p: Parameters) -> DataFrame:
-    """doc_id, words, unknown words and log-likelihood of each row of docs (doc_id, text); nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, spelling, p))
+def score(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, p: Parameters) -> DataFrame:
+    """doc_id, words, words that the network doesn't tell apart and log-likelihood of each row of docs (doc_id, text).
+
+    A row for each document and one for each of its words beyond the table are joined with the words' counts and added up.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, p))
+
+    def rows(at: pa.Array, doc: pa.Array, words: np.ndarray, times: np.ndarray, n_words: np.ndarray, unknown: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        arrays = [at, pa.array(words.view(np.int64)), pa.array(times.astype(np.int64)), doc, *(pa.array(x.astype(np.int32)) for x in (n_words, unknown)), pa.array(value.astype(np.float64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "word", "times", "doc_id", "n_words", "n_unknown", "value"])
 
     def run(batches):
-        known, spelled, own = sent.value
-        for held, words, lengths in _shards(batches, known, 1, spelled):
+        known, own = sent.value
+        for held, words, lengths in _shards(batches, known, 2, rare=True):
             logp = likelihood(own, words, lengths)
-            unknown = np.bincount(np.repeat(np.arange(len(lengths)), lengths), words == UNKNOWN, len(lengths)).astype(np.int32)
-            at = 0
-            for batch, i, j, spelling in held:
-                rows = slice(at, at + j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lengths[rows].astype(np.int32)), pa.array(unknown[rows]), pa.array(logp[rows] + spelling)], names=["doc_id", "n_words", "n_unknown", "log_likelihood"])
-                at += j - i
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+            unknown = np.bincount(np.repeat(np.arange(len(lengths)), lengths), words < SPECIAL, len(lengths))
+            done = 0
+            for batch, i, j, shares, row, beyond, times in held:
+                own_rows, ids = slice(done, done + j - i), batch.column(0).slice(i, j - i)
+                # a document's own row has a word that no other has, so that these rows spread over all tasks
+                apart = C.mix(ids.to_numpy().view(np.uint64))
+                yield rows(ids, batch.column(1).slice(i, j - i), apart, np.zeros(j - i), lengths[own_rows], unknown[own_rows], logp[own_rows] + shares)
+                for k in range(0, len(row), 20_000):
+                    part, none = row[k : k + 20_000], np.zeros(len(row[k : k + 20_000]))
+                    yield rows(ids.take(pa.array(part)), pa.nulls(len(part), pa.int64()), beyond[k : k + 20_000], times[k : k + 20_000], none, none, none)
+                done += j - i
+
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = source.mapInArrow(run, "row bigint, word bigint, times bigint, doc_id bigint, n_words int, n_unknown int, value double")
+    rest = math.log(max(1.0, float(vocabulary.frequency[BANDS])))
+    share = F.when(F.col("times") > 0, F.col("times") * (F.log("n") - F.lit(rest))).otherwise(F.lit(0.0))
+    joined = parts.join(counts, "word", "left").select("row", "doc_id", "n_words", "n_unknown", (F.col("value") + share).alias("value"))
+    total = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words", "n_unknown")], F.sum("value").alias("log_likelihood"))
+    return total.select("doc_id", "n_words", "n_unknown", "log_likelihood")
 
 
 def language_model(docs: DataFrame) -> DataFrame:
     """Every document's log-likelihood under a network trained on all of them.
 
     A null or empty text has no words and the likelihood of its end alone; a null id stays null; repeated rows each give
-    their row; other columns aren't read. A word is a run of letters, digits and underscores in lower case; one that isn't
-    among the most frequent is the unknown word to the network, and its spelling gives the rest of its probability.
+    their row; other columns aren't read. A word is a run of letters, digits and underscores in lower case. n_unknown counts
+    a document's words that the network knows by their band alone.
     """
     C.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    vocabulary = learn_vocabulary(source)
-    return score(source, vocabulary, learn_spelling(source, vocabulary), learn(source, vocabulary))
+    vocabulary, counts = learn_vocabulary(source)
+    return score(source, vocabulary, counts, learn(source, vocabulary))

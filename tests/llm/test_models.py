@@ -170,28 +170,51 @@ def test_every_window_gives_a_gradient(monkeypatch, every):
 
 def test_vocabulary_counts_are_exact(spark, documents):
     docs = documents(["a b a", "b c", None, "", "a"]).repartition(3)
-    v = R.learn_vocabulary(docs, 64)
+    v, counts = R.learn_vocabulary(docs, 64)
     assert sorted(v.frequency[v.frequency > 0].tolist()) == [1, 2, 3, 5] and v.frequency[R.END] == 5
-
-
-def test_spelling_probabilities_sum_to_one_and_words_are_told_apart(spark, documents):
-    text = b"abba abd zz"
-    data = np.frombuffer(text, np.uint8)
-    starts, ends = np.array([0, 5, 9]), np.array([4, 8, 11])
-    codes, span = R.trigrams(data, starts, ends)
-    letters = [(c >> 16, c >> 8 & 255, c & 255) for c in codes[span == 1].tolist()]
-    assert letters == [(0, 0, 97), (0, 97, 98), (97, 98, 100), (98, 100, 0)]
-    spelling = R.Spelling(*np.unique(codes, return_counts=True))
-    for context in (0, 97, 97 << 8 | 98, 5):
-        after = [context << 8 | b for b in range(256)]
-        at = dict(zip(spelling.codes.tolist(), spelling.logp.tolist(), strict=True))
-        unseen = dict(zip(spelling.contexts.tolist(), spelling.unseen.tolist(), strict=True)).get(context, -np.log(256))
-        assert np.isclose(sum(np.exp(at.get(c, unseen)) for c in after), 1)
-    common = [f"w{i}x" for i in range(R.VOCABULARY - R.SPECIAL)]
-    rare = [f"abba{c}" for c in "ceghi"]
-    rows = [" ".join(common)] * 3 + [" ".join(rare), common[0] + " abbac abbae", common[0] + " qzvkj xjqwv"]
-    found = [r["log_likelihood"] for r in R.language_model(documents(rows)).orderBy("doc_id").collect()]
-    assert found[4] > found[5] + 5
+    assert sorted(r["n"] for r in counts.collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("distinct", [0, 1, 40, 700, 5000])
+def test_every_word_has_its_number_and_share(distinct):
+    rng, own = np.random.default_rng(distinct), 64 - R.SPECIAL
+    words = np.unique(rng.integers(0, 2**64, distinct, np.uint64))
+    counts = rng.integers(1, 50, len(words))
+    v = R.Vocabulary(words, counts, int(counts.sum()) + 7, 3, 64)
+    numbers, share = v(words), v.share[v.find(words)]
+    order = np.lexsort((words, -counts))
+    for rank, at in enumerate(order.tolist()):
+        band = next(b for b in range(1, R.BANDS) if rank < own << b or b == R.BANDS - 1) if rank >= own else rank + R.SPECIAL
+        assert numbers[at] == band
+    for number in np.unique(numbers):
+        assert np.isclose(np.exp(share[numbers == number], dtype=float).sum(), 1, atol=1e-5) and v.frequency[number] == counts[numbers == number].sum()
+    strange = np.setdiff1d(rng.integers(0, 2**64, 2000, np.uint64), words)
+    assert (v(strange) == R.BANDS).all() and v.frequency[R.BANDS] == 7 and (v.share[v.find(strange)] == 0).all()
+
+
+def test_words_beyond_the_table_have_their_share_of_all_such_words(documents):
+    rows = ["a a a a b b b c c d e", "d e f g g", None, "h", "f f i"]
+    docs = documents([(i, t) for i, t in enumerate(rows)]).select("doc_id", "text")
+    p = R.initial(np.ones(64), size=8)
+    v, counts = R.learn_vocabulary(docs, 64)
+    whole = {r["doc_id"]: r for r in R.score(docs, v, counts, p).collect()}
+    assert [whole[i]["n_unknown"] for i in range(5)] == [0] * 5
+    occurs = {"a": 4, "b": 3, "c": 2, "d": 2, "e": 2, "f": 3, "g": 2, "h": 1, "i": 1}
+    v = R.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), sum(occurs.values()), 5, 64)
+    net = R.likelihood(p, np.full(21, R.BANDS, np.int16), np.array([11, 5, 0, 1, 3]))
+    for r in R.score(docs, v, counts, p).collect():
+        text = (rows[r["doc_id"]] or "").split()
+        expected = net[r["doc_id"]] + sum(np.log(occurs[w] / 20) for w in text)
+        assert np.isclose(r["log_likelihood"], expected, atol=1e-4) and r["n_words"] == r["n_unknown"] == len(text)
+
+
+def test_documents_of_words_that_occur_twice_are_likelier(documents):
+    rng = random.Random(3)
+    common = [" ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(60)) for _ in range(150)]
+    own = [" ".join(f"name{i}x{k}" for k in range(30)) for i in range(20)]
+    found = {r["doc_id"]: r["log_likelihood"] for r in R.language_model(documents(common + own + own[:10])).collect()}
+    assert min(found[i] for i in range(150, 160)) > max(found[i] for i in range(160, 170)) + 10
+    assert all(np.isclose(found[i], found[i + 20], atol=1e-3) for i in range(150, 160))
 
 
 def test_language_model_of_awkward_rows(awkward, nothing):
