@@ -23,7 +23,7 @@ from offerlake.llm import columnar as C
 
 SCHEMA = (
     "arc_file string, arc_version int, arc_offset bigint, warc_type string, warc_record_id string, warc_date string, target_uri string, "
-    "ip_address string, content_type string, content_length bigint, block_digest string, payload_digest string, http_status int, state string"
+    "ip_address string, content_type string, content_length bigint, block_digest string, payload_digest string, http_status int, block_offset bigint, state string"
 )
 _NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -93,11 +93,14 @@ def convert(name: str, content: bytes | None) -> Iterator[tuple]:
     """Rows of SCHEMA for one archive, in its order.
 
     state is ``ok``; ``truncated`` for a record whose declared length goes beyond the file, which keeps what there is;
-    ``malformed`` for a stretch that is no record, which is skipped up to the next line that can be one; ``empty`` for an
-    archive without content. A malformed or empty row has no identifier or digest.
+    ``malformed`` for a record line without a URL or a valid date, and for a stretch that is no record; ``empty`` for an
+    archive without content. A malformed record whose declared length leads to the end of a line is kept by that length, and
+    its URL or date is null; any other malformed stretch is skipped up to the next line that can be a record's, and its row,
+    like an empty one, has no type, identifier, digest or block. block_offset is where a record's block of content_length
+    bytes begins in the unpacked archive.
     """
     data = unpack(content or b"")
-    blank = lambda state, at, n, version=None: (name, version, at, None, None, None, None, None, None, n, None, None, None, state)
+    blank = lambda state, at, n, version=None: (name, version, at, None, None, None, None, None, None, n, None, None, None, None, state)
     if not data:
         yield blank("empty", 0, 0)
         return
@@ -111,7 +114,8 @@ def convert(name: str, content: bytes | None) -> Iterator[tuple]:
         opening = line is not None and line.startswith(b"filedesc://")
         fields = _fields(line, 5 if opening else n) if line is not None else None
         date = iso_date(fields[2]) if fields else None
-        if fields is None or date is None or ":" not in fields[0]:
+        flawed = fields is not None and (date is None or ":" not in fields[0])
+        if fields is None or flawed and data[at + int(fields[-1]) :][:1] not in (b"", b"\r", b"\n"):
             while at < len(data):
                 following, after = _line(data, at)
                 f = _fields(following, n) if following is not None else None
@@ -121,10 +125,10 @@ def convert(name: str, content: bytes | None) -> Iterator[tuple]:
             yield blank("malformed", begin, at - begin, version)
             continue
         length = int(fields[-1])
-        block = data[at : at + length]
+        block, start = data[at : at + length], at
         at += length
-        state = "ok" if len(block) == length else "truncated"
-        uri, ip, kind = fields[0], fields[1], fields[3]
+        state = "malformed" if flawed else "ok" if len(block) == length else "truncated"
+        uri, ip, kind = fields[0] if ":" in fields[0] else None, fields[1], fields[3]
         if opening:
             head = block.split(b"\n", 2)
             version = 2 if head[0].split(b" ", 1)[0] == b"2" else 1
@@ -135,16 +139,18 @@ def convert(name: str, content: bytes | None) -> Iterator[tuple]:
             payload, code = _http(block)
             if code is None and n >= 10 and fields[4].isdigit():
                 code = int(fields[4])
-            scheme = uri.split(":", 1)[0].lower()
+            scheme = (uri or "").split(":", 1)[0].lower()
             warc_type = "response" if block.startswith(b"HTTP/") else "resource" if scheme in ("dns", "ftp", "file", "whois", "http", "https", "data") else "metadata"
         whole = digest(block)
         content_type = "application/http; msgtype=response" if warc_type == "response" else "application/warc-fields" if warc_type == "warcinfo" else kind
-        yield (name, version, begin, warc_type, record_id(warc_type, uri, date, whole), date, uri, ip, content_type, len(block), whole, digest(payload), code, state)
+        yield (name, version, begin, warc_type, record_id(warc_type, uri or "", date or "", whole), date, uri, ip, content_type, len(block), whole, digest(payload), code, start, state)
 
 
-def to_warc(arcs: DataFrame, name_col: str = "name", content_col: str = "content") -> DataFrame:
+def to_warc(arcs: DataFrame, name_col: str = "name", content_col: str = "content", blocks: bool = False) -> DataFrame:
     """WARC records of the archives in a table of (name, content), plain or gzip; see convert() for what isn't a record.
 
+    With blocks, a last column has the block of each record, which warc_record() writes; it is null for what isn't one.
+
     A null name stays null (and is empty in identifiers); a null or empty content gives one row of state ``empty``;
     repeated rows each give theirs, with equal identifiers; other columns aren't read. Nothing is shuffled.
     """
@@ -152,12 +158,25 @@ def to_warc(arcs: DataFrame, name_col: str = "name", content_col: str = "content
 
     def run(batches):
         for batch in batches:
+            if blocks:
+                yield from held(batch)
+                continue
             rows = [row for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in convert(name, content)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
-            kinds = {"arc_version": pa.int32(), "http_status": pa.int32(), "arc_offset": pa.int64(), "content_length": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(_NAMES, columns, strict=True)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays(table(columns), names=_NAMES)
+
+    def table(columns) -> list[pa.Array]:
+        kinds = {"arc_version": pa.int32(), "http_status": pa.int32(), "arc_offset": pa.int64(), "content_length": pa.int64(), "block_offset": pa.int64()}
+        return [pa.array(c, kinds.get(k, pa.string())) for k, c in zip(_NAMES, columns, strict=True)]
+
+    def held(batch):
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, data = list(convert(name, content)), unpack(content or b"")
+            own = [None if r[_NAMES.index("block_offset")] is None else data[r[_NAMES.index("block_offset")] :][: r[_NAMES.index("content_length")]] for r in rows]
+            yield pa.RecordBatch.from_arrays([*table(list(zip(*rows, strict=True))), pa.array(own, pa.binary())], names=[*_NAMES, "block"])
 
-    return arcs.select(F.col(f"`{name_col}`").alias("name"), F.col(f"`{content_col}`").alias("content")).mapInArrow(run, SCHEMA)
+    source = arcs.select(F.col(f"`{name_col}`").alias("name"), F.col(f"`{content_col}`").alias("content"))
+    return source.mapInArrow(run, SCHEMA + ", block binary" * blocks)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -208,23 +227,29 @@ def _base32(hexed: str) -> str:
 
 
 SQL = f"""
-WITH shaped AS (
+WITH files AS (
+  SELECT file, 'crawl-' || file || '.arc' AS name, CASE WHEN file % 2 = 0 THEN '1 0 crawl' || chr(10) || '{V1}' ELSE '2 0 crawl' || chr(10) || '{V2}' END || chr(10) AS block
+  FROM (SELECT DISTINCT page_id // {PAGES_PER_FILE} AS file FROM pages)
+), shaped AS (
   SELECT page_id // {PAGES_PER_FILE} AS file, page_id, 'response' AS warc_type, regexp_replace(url, '[ \\r\\n]', '%20', 'g') AS uri, '10.0.0.1' AS ip,
     strftime(make_timestamp((1000000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date, 200 AS status,
-    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || html AS block, html AS payload
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || html AS block, html AS payload,
+    ' 10.0.0.1 YYYYMMDDhhmmss text/html ' || CASE WHEN page_id // {PAGES_PER_FILE} % 2 = 0 THEN '' ELSE '200 ' || md5(html) || ' - 0 crawl.arc ' END AS fields
   FROM pages
   UNION ALL
-  SELECT file, -1, 'warcinfo', 'filedesc://crawl-' || file || '.arc', '0.0.0.0', '2001-09-09T01:46:40Z', NULL, block, block
-  FROM (SELECT file, CASE WHEN file % 2 = 0 THEN '1 0 crawl' || chr(10) || '{V1}' ELSE '2 0 crawl' || chr(10) || '{V2}' END || chr(10) AS block
-        FROM (SELECT DISTINCT page_id // {PAGES_PER_FILE} AS file FROM pages))
+  SELECT file, -1, 'warcinfo', 'filedesc://' || name, '0.0.0.0', '2001-09-09T01:46:40Z', NULL, block, block, ' 0.0.0.0 20010909014640 text/plain ' FROM files
+), measured AS (
+  SELECT *, CAST(octet_length(encode(block)) AS BIGINT) AS content_length, CAST(octet_length(encode(uri || fields || CAST(octet_length(encode(block)) AS VARCHAR))) AS BIGINT) + 1 AS head FROM shaped
+), placed AS (
+  SELECT *, CAST(coalesce(sum(head + content_length + 1) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS arc_offset FROM measured
 ), hashed AS (
-  SELECT *, sha1(block) AS block_sha, sha1(payload) AS payload_sha FROM shaped
+  SELECT *, sha1(block) AS block_sha, sha1(payload) AS payload_sha FROM placed
 ), named AS (
   SELECT *, 'sha1:' || {_base32("block_sha")} AS block_digest, 'sha1:' || {_base32("payload_sha")} AS payload_digest FROM hashed
 )
-SELECT 'crawl-' || file || '.arc' AS arc_file, CAST(1 + file % 2 AS INT) AS arc_version, warc_type,
+SELECT 'crawl-' || file || '.arc' AS arc_file, CAST(1 + file % 2 AS INT) AS arc_version, arc_offset, warc_type,
   '<urn:uuid:' || regexp_replace(md5(concat_ws('|', warc_type, uri, warc_date, block_digest)), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') || '>' AS warc_record_id,
   warc_date, uri AS target_uri, ip AS ip_address, CASE warc_type WHEN 'response' THEN 'application/http; msgtype=response' ELSE 'application/warc-fields' END AS content_type,
-  CAST(octet_length(encode(block)) AS BIGINT) AS content_length, block_digest, payload_digest, CAST(status AS INT) AS http_status, 'ok' AS state
+  content_length, block_digest, payload_digest, CAST(status AS INT) AS http_status, arc_offset + head AS block_offset, 'ok' AS state
 FROM named
 """

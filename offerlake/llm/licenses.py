@@ -4,7 +4,7 @@ A template is license wording with marks: ``<<beginOptional>> ... <<endOptional>
 ``<<var;match="...">>`` for words that may be replaced, where match is ``.+`` (a word at least), ``.*`` (any words) or
 ``.{m,n}`` (m to n words). It is compiled into an automaton over words in lower case, without punctuation and with spelling
 variants folded. A text is accepted where all the mandatory wording stands word for word, from an optional or mandatory
-first word to the last that the automaton can reach.
+first word to the last that the automaton can reach; a replaceable region of any length is as short as it can be.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ class Automaton:
     steps: list[list[tuple[str | None, int]]] = field(default_factory=lambda: [[]])
     skips: list[list[int]] = field(default_factory=lambda: [[]])
     mandatory: list[str] = field(default_factory=list)
+    #: First state of a region of any length, and first one behind all mandatory words.
+    loop: int = 1 << 62
+    complete: int = 0
 
     def state(self) -> int:
         self.steps.append([])
@@ -75,8 +78,12 @@ class Automaton:
             self.moves[key] = self.close({n for s in states for w, n in self.steps[s] if w is None or w == word})
         return self.moves[key]
 
-    def longest(self, words: list[str], at: int) -> int:
-        """Words from `at` on to the furthest accepted place; 0 if none is."""
+    def longest(self, words: list[str], at: int, loops: bool = True) -> int:
+        """Words from `at` on to the furthest accepted place; 0 if none is.
+
+        Without loops, a region of any length ends where the wording behind it first stands, so that a later place of the
+        same template is left for a match of its own; only optional words at the end can go on from there.
+        """
         states, end = self.start, 0
         for i in range(at, len(words)):
             states = self.move(states, words[i])
@@ -84,6 +91,8 @@ class Automaton:
                 break
             if self.final in states:
                 end = i + 1 - at
+                if not loops:
+                    states = frozenset(s for s in states if s < self.loop or s >= self.complete)
         return end
 
 
@@ -110,6 +119,7 @@ def compile_template(template: str) -> Automaton:
                 at = following
                 if not opened:
                     machine.mandatory.append(word)
+                    machine.complete = at
         elif kind == "beginOptional":
             inner = machine.state()
             machine.skips[at].append(inner)
@@ -131,6 +141,7 @@ def compile_template(template: str) -> Automaton:
                 at = following
             if bounds[1]:
                 loop = machine.state()
+                machine.loop = min(machine.loop, loop)
                 machine.skips[at].append(loop)
                 machine.steps[loop].append((None, loop))
                 at = loop
@@ -153,11 +164,11 @@ def compile_template(template: str) -> Automaton:
 
 
 def find(words: list[str], machine: Automaton) -> list[tuple[int, int]]:
-    """First word and number of words of each match: from the left, the longest from its first word, none overlapping."""
+    """First word and number of words of each match, by longest() without loops: from the left, none overlapping."""
     out, free = [], 0
     for i, word in enumerate(words):
         if word in machine.opening and i >= free:
-            n = machine.longest(words, i)
+            n = machine.longest(words, i, loops=False)
             if n:
                 out.append((i, n))
                 free = i + n
@@ -210,7 +221,7 @@ def as_regex(template: str) -> str:
     for mark in _MARK.finditer(template):
         out.append(text(template[last : mark.start()]))
         if mark[1] == "var":
-            bounds = {".+": "+", ".*": "*"}.get(mark[2] or ".+") or mark[2][1:]
+            bounds = {".+": "+?", ".*": "*?"}.get(mark[2] or ".+") or mark[2][1:]
             out.append(f"(?:<[^<>]+>){bounds}")
         else:
             out.append("(?:" if mark[1] == "beginOptional" else ")?")

@@ -28,24 +28,57 @@ SHARD_IDS = 1024
 SCHEMA = "shard bigint, window int, n_words int, padding int, truncated int, doc_ids array<bigint>, first_words array<int>, word_counts array<int>"
 
 
+def _codes(*marks: str) -> np.ndarray:
+    return np.array(sorted(int.from_bytes(m.encode(), "big") for m in marks))
+
+
+#: Closing quotes and brackets, which may follow a stop, and stops.
+_CLOSING = _codes(*"\"')]}”’»」』）】")
+_STOPS = _codes(*".!?…。！？।॥۔؟")
+
+
+def _ends_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Bytes of the mark that each span ends in, 0 for none."""
+    found = np.zeros(len(ends), np.int64)
+    code = np.zeros(len(ends), np.int64)
+    for size in (1, 2, 3):
+        code += data[np.maximum(ends - size, 0)].astype(np.int64) << 8 * (size - 1)
+        found[(ends - size >= starts) & np.isin(code, marks)] = size
+    return found
+
+
 def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of each sentence, all rows one after another, and the number of sentences of each row.
 
-    A word is a run of bytes without white space; a sentence ends with a word that ends in . ! or ?, before a line break,
-    and with its row.
+    A word is a run of bytes without white space; a sentence ends with a word that ends in a stop (of _STOPS), up to three
+    closing marks behind it or not, before a line break, and with its row.
     """
     starts, ends, rows = C.spans(data, off, C.SPACED)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-    last = data[ends - 1]
     breaks = np.cumsum(data == 10)
     final = np.ones(len(starts), bool)
     final[:-1] = (rows[1:] != rows[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1] - 1])
-    final |= (last == 46) | (last == 33) | (last == 63)
+    last = data[ends - 1]
+    letter = ((last | 32) >= 97) & ((last | 32) <= 122)
+    other = np.flatnonzero(~letter & ~final)
+    begin, end = starts[other], ends[other].copy()
+    for _ in range(3):
+        end -= _ends_in(data, begin, end, _CLOSING)
+    final[other] = _ends_in(data, begin, end, _STOPS) > 0
     at = np.flatnonzero(final)
     return np.diff(at, prepend=-1), np.bincount(rows[at], minlength=len(off) - 1)
 
 
+def pieces(words: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences, n of each row, with those longer than a window cut into windows and a rest."""
+    times = np.maximum(1, -(-words // window))
+    out = np.full(int(times.sum()), window, np.int64)
+    out[np.cumsum(times) - 1] = words - (times - 1) * window
+    sums = np.concatenate([[0], np.cumsum(times)])
+    return out, sums[np.cumsum(n)] - sums[np.cumsum(n) - n]
+
+
 def cuts(words: list[int], penalties: list[int], window: int, truncated: int) -> tuple[list[int], int]:
     """Sentences before each cut of a cheapest packing, and its cost. penalties: of a cut after each sentence."""
     n = len(words)
@@ -79,13 +112,15 @@ def cuts(words: list[int], penalties: list[int], window: int, truncated: int) ->
     return out[::-1], best[n]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, truncated: int = TRUNCATED, split: int = SPLIT, shard_ids: int = SHARD_IDS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, truncated: int = TRUNCATED, split: int = SPLIT, shard_ids: int = SHARD_IDS, cut_long: bool = False) -> DataFrame:
     """Windows in order: their words, padding and words cut off at the end, and what of which document they hold.
 
     first_words and word_counts say from which word of each document how many words are in the window; words cut off are
     counted in word_counts and in n_words beyond the capacity. Documents of a null id come in a shard of their own, named
     null. A document without a word (null, empty or blank text) is in no window. Repeated rows are packed one after another;
     equal ids are ordered by a hash of the text. Other columns aren't read. Only sentence lengths are shuffled.
+    A sentence of more words than a window is truncated, or with cut_long, as op5 and the pipeline have it, cut into windows
+    first, so that none of its words are lost.
     """
     C.small_batches(docs.sparkSession)
 
@@ -94,6 +129,8 @@ def pack(docs: DataFrame, window: int = WINDOW, truncated: int = TRUNCATED, spli
             data, off = C.utf8(batch.column(2))
             for i, j in C.chunks(off):
                 words, n = sentences(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if cut_long:
+                    words, n = pieces(words, n, window)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), C.list_column(words.astype(np.int32), n, pa.int32())], names=["doc_id", "tie", "words"])
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:

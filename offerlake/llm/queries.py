@@ -53,7 +53,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2,048 words."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), cut_long=True)
 
 
 @query("op7_token_counts")
@@ -71,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_arc_to_warc", arcfiles.SQL)
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, put into ARC archives and converted into WARC records."""
-    return arcfiles.to_warc(arcfiles.archive(_table(spark, sf_dir, "pages"))).drop("arc_offset")
+    return arcfiles.to_warc(arcfiles.archive(_table(spark, sf_dir, "pages")))
 
 
 @query("op3_quality")

@@ -77,3 +77,24 @@ def test_record_in_warc_form():
     row = dict(zip(A._NAMES, list(A.convert("f", opening(1)))[0], strict=True))
     text = A.warc_record(row, b"block")
     assert text.startswith(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n") and text.endswith(b"Content-Length: 5\r\n\r\nblock\r\n\r\n")
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_malformed_record_lines_keep_their_records(version):
+    data = opening(version) + record("", "20010203040506", "text/html", HTML, version) + record("http://a.b/", "20019903", "text/html", b"x", version) + record("http://c.d/", "20010203040506", "text/html", HTML, version)
+    rows = list(A.convert("f.arc", data))
+    assert [r[-1] for r in rows] == ["ok", "malformed", "malformed", "ok"]
+    assert [r[6] for r in rows[1:]] == [None, "http://a.b/", "http://c.d/"] and [r[5] for r in rows[1:3]] == ["2001-02-03T04:05:06Z", None]
+    assert rows[1][9] == len(HTML) and rows[1][10] == rows[3][10]
+
+
+def test_blocks_stand_where_rows_say_and_records_can_be_written(spark):
+    data = opening(1) + record("http://a.b/", "20010203040506", "text/html", HTML) + b"rubbish\n"
+    df = spark.createDataFrame([("f", bytearray(gzip.compress(data)))], "name string, content binary")
+    rows = A.to_warc(df, blocks=True).collect()
+    assert [r["state"] for r in rows] == ["ok", "ok", "malformed"] and rows[2]["block"] is None
+    for r in rows[:2]:
+        block = bytes(r["block"])
+        assert block == data[r["block_offset"] : r["block_offset"] + r["content_length"]] and A.digest(block) == r["block_digest"]
+        assert A.warc_record(r.asDict(), block).endswith(block + b"\r\n\r\n")
+    assert bytes(rows[1]["block"]) == HTML

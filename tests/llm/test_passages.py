@@ -262,3 +262,25 @@ def test_scan_of_awkward_rows(spark, awkward):
     rows = G.scan(more).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(["1", "1", "3", "4", "None", "5", "6", "7"])
     assert next(r for r in rows if r["doc_id"] == 5)["first_word"] == 120_000
+
+
+def test_two_full_licenses_in_a_text_are_two_places():
+    for name in ("MIT", "ISC"):
+        template = G.TEMPLATES[name]
+        text = G._MARK.sub(lambda m: "the great authors" if m[1] == "var" else "", template)
+        words = G.fold(f"notice {text} then other words {text} the end")
+        machine, size = G.compile_template(template), len(G.fold(text))
+        assert G.find(words, machine) == [(1, size), (size + 4, size)]
+
+
+def test_sentences_end_at_other_stops_and_behind_closing_marks():
+    text = 'one two." three four?) five six । seven eight。 nine 。」 ten 3.5 eleven” twelve …'
+    data, off = C.utf8(pa.array([text]))
+    assert P.sentences(data, off)[0].tolist() == [2, 2, 3, 2, 2, 5]
+
+
+def test_sentences_longer_than_a_window_are_cut_not_truncated(documents):
+    words, n = P.pieces(np.array([3, 10, 4, 1, 9]), np.array([2, 0, 2, 1]), 4)
+    assert words.tolist() == [3, 4, 4, 2, 4, 1, 4, 4, 1] and n.tolist() == [4, 0, 2, 3]
+    rows = P.pack(documents(["w " * 1000, "a b c."]), window=64, cut_long=True).collect()
+    assert sum(r["truncated"] for r in rows) == 0 and sum(r["n_words"] for r in rows) == 1003
