@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import markup, numbers, similarity, urls
 from offerlake.functions import text as X
-from offerlake.operators import expand, fulltext, offers, spell, tables
+from offerlake.operators import expand, fulltext, offers, spell, tables, vectors
 from offerlake.plans.views import OFFERS, SYNONYMS_SQL, TYPOS, WORDS, synonyms, table, typos, words
 from offerlake.plans.views import offers as offer_view
 
@@ -253,22 +253,12 @@ def first_variant(spark, sf):
     return offers.first_variant(table(spark, sf, "part"), ["p_type"], "p_size").select(F.col("p_type").alias("key"), F.col("p_partkey").alias("id"))
 
 
-@query("embedding_cosine_topk", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS c FROM embeddings, q) SELECT vec_id, round(c, 4) AS cosine FROM s ORDER BY c DESC, vec_id LIMIT 10")
+@query("embedding_cosine_topk", "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, round(c, 4) AS cosine FROM r WHERE place <= 10")
 def embedding_cosine_topk(spark, sf):
-    e = table(spark, sf, "embeddings")
-    one = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q")))  # a single row
-    exact = e.crossJoin(one).select("vec_id", similarity.vector_cosine(F.col("embedding"), F.col("q")).alias("c"))
-    return exact.orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 4).alias("cosine"))
-
-
-@query("embedding_neighbours_topk", "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS c FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, round(c, 4) AS cosine FROM r WHERE place <= 10")
-def embedding_neighbours_topk(spark, sf):
-    """embedding_cosine_topk with every row as the query."""
+    """The ten nearest rows of each query; the queries are the rows whose number is divisible by 50."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    one = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = e.crossJoin(one).select("query_id", "vec_id", similarity.vector_cosine(F.col("embedding"), F.col("q")).alias("c"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
-    return exact.withColumn("place", place).filter("place <= 10").select("query_id", "vec_id", F.round("c", 4).alias("cosine"))
+    found = vectors.nearest(e, e.filter("vec_id % 50 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))
 
 
 # words

@@ -1,11 +1,13 @@
-"""Spelling, expansion, full text, crawling and offers on small tables."""
+"""Spelling, expansion, full text, crawling, vectors and offers on small tables."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerlake.engine import Search, Speller, suggest
 from offerlake.functions import markup
-from offerlake.operators import expand, fulltext, offers, spell, tables
+from offerlake.operators import expand, fulltext, offers, spell, tables, vectors
 from offerlake.sources import dictionaries, payloads
 
 KNOWN = "телефон компьютер мышь наушники ноутбук клавиатура экран зарядка планшет смартфон принтер сканер роутер для игр монитор".split()
@@ -233,3 +235,21 @@ def test_upsert_and_running_total(spark):
     assert {(r["url"], r["v"]) for r in tables.upsert(old, new, "url", [F.desc("at")]).collect()} == {("a", "z"), ("b", "y"), ("c", "w")}
     rows = spark.createDataFrame([(i, 4) for i in range(5)], "i int, n int")
     assert tables.until_total(rows, "n", 10, [F.col("i")]).count() == 3
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_nearest_vectors_against_brute_force(spark, block_bytes):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(80)]
+    rows += [(80 + i, rows[0][1]) for i in range(40)] + [(200, [0.0] * 3), (201, None), (202, [1.0]), (None, [1.0] * 3), (203, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
+    got = vectors.nearest(df, df.filter("vec_id % 20 = 0"), 7, block_bytes=block_bytes).collect()
+    good = [(i, v) for i, v in spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").collect() if i is not None and v and len(v) == 3 and None not in v]
+
+    def cosine(a, b):
+        norm = (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 9) if norm else 0.0
+
+    expected = {(q, i) for q, v in good if q % 20 == 0 for _, i in sorted((-cosine(v, w), i) for i, w in good)[:7]}
+    assert {(r["query_id"], r["vec_id"]) for r in got} == expected and len(got) == len(expected)
+    assert vectors.nearest(df, df.limit(0), 7).count() == 0
