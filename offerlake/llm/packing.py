@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm import columnar as C
+from offerlake.llm.shared import hot_pieces, with_piece
 
 WINDOW, TRUNCATED, SPLIT = 2048, 4, 32
 #: Ids that share a shard; a shard's last window is padded, so this bounds padding and a task's memory alike.
 SHARD_IDS = 1024
-SCHEMA = "shard bigint, window int, n_words int, padding int, truncated int, doc_ids array<bigint>, first_words array<int>, word_counts array<int>"
+#: Rows of a shard, beyond which it is cut into pieces.
+SHARD_ROWS = 8192
+SCHEMA = "shard bigint, piece int, window int, n_words int, padding int, truncated int, doc_ids array<bigint>, first_words array<int>, word_counts array<int>"
 
 
 def _codes(*marks: str) -> np.ndarray:
@@ -121,6 +124,9 @@ def pack(docs: DataFrame, window: int = WINDOW, truncated: int = TRUNCATED, spli
     equal ids are ordered by a hash of the text. Other columns aren't read. Only sentence lengths are shuffled.
     A sentence of more words than a window is truncated, or with cut_long, as op5 and the pipeline have it, cut into windows
     first, so that none of its words are lost.
+
+    A shard of over SHARD_ROWS rows, as one of null or much repeated ids can be, is cut into pieces by a hash, each of which
+    is packed on its own in the order of its ids; piece is 0 in all other shards.
     """
     C.small_batches(docs.sparkSession)
 
@@ -156,9 +162,11 @@ def pack(docs: DataFrame, window: int = WINDOW, truncated: int = TRUNCATED, spli
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         kinds = [pa.int32()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = ["window", "n_words", "padding", "truncated", "doc_ids", "first_words", "word_counts"]
-        out = {"shard": pa.array([key[0].as_py()] * len(rows), pa.int64())}
+        out = {"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "piece": pa.array([key[1].as_py()] * len(rows), pa.int32())}
         return pa.table(out | {name: pa.array(list(c), k) for name, c, k in zip(names, columns, kinds, strict=True)})
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     measured = source.mapInArrow(measure, "doc_id bigint, tie bigint, words array<int>").filter(F.size("words") > 0)
-    return measured.withColumn("shard", F.floor(F.col("doc_id") / shard_ids)).groupBy("shard").applyInArrow(fill, SCHEMA)
+    shard = F.floor(F.col("doc_id") / shard_ids).alias("shard")
+    hot = hot_pieces(source.select(shard), "shard", max(SHARD_ROWS, 2 * shard_ids))
+    return with_piece(measured.select("*", shard), hot, "shard", "doc_id", "tie").groupBy("shard", "piece").applyInArrow(fill, SCHEMA)

@@ -190,6 +190,21 @@ def test_packing_of_awkward_rows(awkward, nothing):
     assert {r["shard"] for r in rows} == {0, None} and P.pack(nothing).count() == 0
 
 
+def test_hot_shards_are_cut_into_pieces(documents, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ROWS", 40)
+    rows = [(None, f"null {i} words.") for i in range(300)] + [(7, "again and again.")] * 300 + [(100 + i, f"own text {i}.") for i in range(30)]
+    out = P.pack(documents(rows).repartition(8), window=16, shard_ids=10).collect()
+    pieces = {s: {r["piece"] for r in out if r["shard"] == s} for s in {r["shard"] for r in out}}
+    assert len(pieces[None]) > 2 and len(pieces[0]) > 2 and all(pieces[s] == {0} for s in (10, 11, 12))
+    held = {}
+    for r in out:
+        assert r["doc_ids"] == sorted(r["doc_ids"], key=lambda d: (d is None, d or 0)) and r["truncated"] == max(0, r["n_words"] - 16)
+        for d, n in zip(r["doc_ids"], r["word_counts"], strict=True):
+            held[d] = held.get(d, 0) + n
+    assert held[None] == 900 and held[7] == 900 and all(held[100 + i] == 3 for i in range(30))
+    assert len({(r["shard"], r["piece"], r["window"]) for r in out}) == len(out)
+
+
 # token counts
 def test_merging_and_whole_tokens_against_the_library():
     import tiktoken
