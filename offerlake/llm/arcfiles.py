@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm import columnar as C
+from offerlake.llm.shared import hot_pieces, with_piece
 
 SCHEMA = (
     "arc_file string, arc_version int, arc_offset bigint, warc_type string, warc_record_id string, warc_date string, target_uri string, "
@@ -201,7 +202,9 @@ def archive(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     """ARC archives of pages (page_id, url, html), some pages to a file by their numbers: file, name and content.
 
     Files of an even number are in version 1, others in version 2. A null url or html is empty; pages of a null number are
-    in a file of their own. This stands for a crawl's archives and shuffles the pages once; converting doesn't.
+    in a file of their own. A file of over 8 times per_file rows, as one of null or much repeated numbers can be, is cut
+    into some of about that size, by a hash, and their part is in their names. This stands for a crawl's archives and
+    shuffles the pages once; converting doesn't.
     """
     number = F.floor(F.coalesce("page_id", F.lit(-1)) / per_file)
     id_text = F.coalesce("page_id", F.lit(-1)).cast("string")
@@ -212,9 +215,10 @@ def archive(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     pieces = {False: [url, F.lit("10.0.0.1"), stamp, F.lit("text/html")], True: [url, F.lit("10.0.0.1"), stamp, F.lit("text/html"), F.lit("200"), F.md5(html), F.lit("-"), F.lit("0"), F.lit("crawl.arc")]}
     line = {v: F.concat_ws(" ", *p, F.octet_length(block).cast("string")) for v, p in pieces.items()}
     rows = pages.select(number.alias("file"), "page_id", F.encode(F.concat(F.when(number % 2 == 0, line[False]).otherwise(line[True]), F.lit("\n"), block, F.lit("\n")), "UTF-8").alias("record"), id_text.alias("tie"))
-    grouped = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_id", "tie", "record"))).alias("records"))
+    hot = hot_pieces(pages.select(number.alias("file")), "file", 8 * per_file)
+    grouped = with_piece(rows, hot, "file", "tie", "record").groupBy("file", "piece").agg(F.array_sort(F.collect_list(F.struct("page_id", "tie", "record"))).alias("records"))
     first = F.when(F.col("file") % 2 == 0, F.lit(f"1 0 crawl\n{V1}\n")).otherwise(F.lit(f"2 0 crawl\n{V2}\n"))
-    name = F.concat(F.lit("crawl-"), F.col("file").cast("string"), F.lit(".arc"))
+    name = F.concat(F.lit("crawl-"), F.col("file").cast("string"), F.when(F.col("piece") > 0, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise(""), F.lit(".arc"))
     head = F.concat(F.lit("filedesc://"), name, F.lit(" 0.0.0.0 20010909014640 text/plain "), F.octet_length(first).cast("string"), F.lit("\n"), first, F.lit("\n"))
     whole = F.aggregate("records", F.encode(head, "UTF-8"), lambda a, r: F.concat(a, r["record"]))
     return grouped.select("file", name.alias("name"), whole.alias("content"))

@@ -73,6 +73,16 @@ def test_round_trip_of_pages(spark, tmp_path):
     assert sorted(r["warc_record_id"] for r in again.collect()) == sorted(r["warc_record_id"] for r in A.to_warc(arcs).filter("state = 'ok'").collect())
 
 
+def test_archives_of_hot_numbers_are_cut(spark):
+    rows = [(None, f"http://n/{i}", "x") for i in range(200)] + [(3, "http://same/", "y")] * 200 + [(100 + i, f"http://o/{i}", "z") for i in range(20)]
+    arcs = A.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8), per_file=10)
+    files = arcs.groupBy("file").count().collect()
+    assert {r["file"]: r["count"] > 1 for r in files} == {-1: True, 0: True, 10: False, 11: False}
+    assert arcs.select("name").distinct().count() == arcs.count()
+    got = sorted(r["target_uri"] for r in A.to_warc(arcs).filter("warc_type = 'response'").collect())
+    assert got == sorted(url for _, url, _ in rows)
+
+
 def test_record_in_warc_form():
     row = dict(zip(A._NAMES, list(A.convert("f", opening(1)))[0], strict=True))
     text = A.warc_record(row, b"block")
