@@ -10,6 +10,7 @@ occurrence in the corpus chosen. A false positive costs a shuffled line, never a
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,19 @@ def twice_seen(docs: DataFrame, bits: int, min_words: int = MIN_WORDS) -> np.nda
             packed = [zlib.compress(np.diff(places[cut[k] : cut[k + 1]] - k * _SEGMENT, prepend=0).astype(np.uint32).tobytes(), 1) for k in where]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([again] * len(where), pa.bool_()), pa.array(packed, pa.binary())], names=names)
 
-    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+    def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # batch by batch: a segment's filters have one size, however many tasks send places
         seen, again = np.zeros(_SEGMENT, bool), np.zeros(_SEGMENT, bool)
-        for repeated, packed in zip(parts["again"], parts["places"], strict=True):
-            places = np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), np.uint32), dtype=np.int64)
-            if repeated.as_py():
-                again[places] = True
-            else:
-                again[places[seen[places]]] = True
-                seen[places] = True
+        for part in parts:
+            for repeated, packed in zip(part["again"], part["places"], strict=True):
+                places = np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), np.uint32), dtype=np.int64)
+                if repeated.as_py():
+                    again[places] = True
+                else:
+                    again[places[seen[places]]] = True
+                    seen[places] = True
         whole = zlib.compress(np.packbits(again, bitorder="little").tobytes(), 1)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([whole], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([whole], pa.binary())], names=["segment", "filter"])
 
     parts = docs.select("text").mapInArrow(build, "segment int, again boolean, places binary")
     merged = parts.groupBy("segment").applyInArrow(merge, "segment int, filter binary")
