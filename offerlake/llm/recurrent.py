@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ VOCABULARY, CLASS_SIZE, HIDDEN = 1024, 32, 24
 ROUNDS, RATE = 2, 0.01
 TRAIN_LANES, TRAIN_WINDOW, UPDATE_EVERY = 384, 16, 1
 LANES, WINDOW = 384, 32
-#: Parts that a model is averaged in.
-BLOCKS = 16
+#: Parts that a model is averaged in, and teams of tasks whose averages are averaged.
+BLOCKS, TEAMS = 16, 256
 #: Words that a task holds at a time.
 SHARD_WORDS = 4_000_000
 
@@ -420,18 +421,24 @@ def _shards(batches, vocabulary: Vocabulary, column: int, rare: bool = False) ->
 
 
 def average(parts: DataFrame) -> np.ndarray:
-    """Mean of parameter vectors, weighted; parts: block, weight and the block's values packed, from every task."""
+    """Mean of parameter vectors, weighted; parts: block, team, weight and the block's values packed, from every task.
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
+    A block's values are averaged by team first and then over the teams, batch by batch, so that however many tasks there
+    are, none holds more than a block's values and a batch.
+    """
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = 0.0, 0
-        for w, values in zip(table["weight"].to_pylist(), table["packed"], strict=True):
-            total = total + w * np.frombuffer(zlib.decompress(values.as_py()), np.float32).astype(np.float64)
-            weight += w
-        packed = (total / weight).astype(np.float32).tobytes()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([packed], pa.binary())})
+        for batch in batches:
+            for w, values in zip(batch["weight"].to_pylist(), batch["packed"], strict=True):
+                total = total + w * np.frombuffer(zlib.decompress(values.as_py()), np.float32).astype(np.float64)
+                weight += w
+        packed = zlib.compress((total / weight).astype(np.float32).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight], pa.int64()), pa.array([packed], pa.binary())], names=["block", "weight", "packed"])
 
-    rows = parts.groupBy("block").applyInArrow(merge, "block int, packed binary").collect()  # the size of one model
-    return np.concatenate([np.frombuffer(r["packed"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, np.float32)
+    schema = "block int, weight bigint, packed binary"
+    rows = parts.groupBy("block", "team").applyInArrow(merge, schema).groupBy("block").applyInArrow(merge, schema).collect()  # the size of one model
+    return np.concatenate([np.frombuffer(zlib.decompress(r["packed"]), np.float32) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, np.float32)
 
 
 def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Parameters:
@@ -451,10 +458,11 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Para
                 weight += int(lengths.sum()) + len(lengths)
             if weight:
                 blocks = np.array_split(flatten(own), BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([weight] * BLOCKS, pa.int64()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["block", "weight", "packed"])
+                team = TaskContext.get().partitionId() % TEAMS
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([team] * BLOCKS, pa.int32()), pa.array([weight] * BLOCKS, pa.int64()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["block", "team", "weight", "packed"])
 
         part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        flat = average(part.mapInArrow(run, "block int, weight bigint, packed binary"))
+        flat = average(part.mapInArrow(run, "block int, team int, weight bigint, packed binary"))
         p = unflatten(flat, p) if len(flat) else p
     return p
 

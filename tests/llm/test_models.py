@@ -1,6 +1,7 @@
 """The rule ensemble, the language model and the pipeline."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -168,6 +169,15 @@ def test_every_window_gives_a_gradient(monkeypatch, every):
     assert sum(seen) == 301 and memory["t"] == -(-len(seen) // (every or 1))
 
 
+def test_average_over_teams_is_that_of_all_tasks(spark):
+    rng = np.random.default_rng(3)
+    values, weights = rng.standard_normal((40, 2, 5)).astype(np.float32), rng.integers(1, 9, 40)
+    rows = [(b, k % 7, int(weights[k]), bytearray(zlib.compress(values[k, b].tobytes()))) for k in range(40) for b in range(2)]
+    got = R.average(spark.createDataFrame(rows, "block int, team int, weight bigint, packed binary").repartition(5))
+    assert np.allclose(got, np.average(values, axis=0, weights=weights).ravel(), atol=1e-5)
+    assert len(R.average(spark.createDataFrame([], "block int, team int, weight bigint, packed binary"))) == 0
+
+
 def test_vocabulary_counts_are_exact(spark, documents):
     docs = documents(["a b a", "b c", None, "", "a"]).repartition(3)
     v, counts = R.learn_vocabulary(docs, 64)
