@@ -191,10 +191,8 @@ def backward(p: Parameters, ids: np.ndarray, begins: np.ndarray, kept: tuple, fr
     gradients["u"] += before.reshape(hidden, -1) @ through.reshape(3 * hidden, -1).T
     flat = ids.ravel()
     order = np.argsort(flat, kind="stable")
-    last = np.flatnonzero(np.diff(flat[order], append=-1))
-    sums = np.cumsum(np.take(into.reshape(3 * hidden, -1), order, axis=1, mode="clip"), axis=1)[:, last]  # a word's is a difference of sums
-    sums[:, 1:] -= sums[:, :-1].copy()
-    gradients["x"][flat[order[last]]] += sums.T
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    gradients["x"][flat[order[first]]] += np.add.reduceat(np.take(into.reshape(3 * hidden, -1), order, axis=1, mode="clip"), first, axis=1).T
 
 
 class Lanes:
