@@ -2,20 +2,22 @@
 
 A document's distinct lower-cased words vote on 256 bits. The bits are cut into 128 segments of two, and a fingerprint is
 embedded as its segments' bit counts: the Manhattan distance between two embeddings is never more than the Hamming distance
-between the fingerprints. Each of several coarse grids spans a few segments, drawn at random, and a cell holds the
-fingerprints of the same counts on them, some thousands. Within a cell the range join is complete: every pair whose Manhattan
-distance is within the limit, as counted over all segments, is verified by its exact Hamming distance. How many segments a
-grid spans and how many grids there are follow from how many fingerprints there are, so that a cell stays of about one size
-and a pair at the limit meets with one chance, at any size of the corpus. Large cells make few grids, and so little to
-shuffle.
+between the fingerprints. The range join is complete: every pair within the limit is found, at any size of the corpus. The
+bits are also cut into spans in a ring, each with a radius, so that a pair within the limit is within the radius of one span
+at least, and within the radii's sum on those that follow it: had it more differing bits all around, it had more than the
+limit in all. A cell holds the fingerprints of the same bits on a span, and is compared with every cell within the radius,
+itself among them: by the 64 bits from the span on, by Manhattan distance over the segments, and by exact Hamming distance.
+How many spans there are follows from how many fingerprints there are, and changes only how long the search takes.
+
+Fingerprints are cut into blocks of at most MOST, and each block meets each, so that no task holds more than two.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,10 @@ from offerlake.llm.shared import checkpoint
 
 BITS, SEGMENTS = 256, 128
 LIMIT = 44
-#: Grids are added until a pair that differs in DESIGN of its bits, the most that is accepted, meets with a chance of RECALL.
-DESIGN, RECALL = LIMIT / BITS, 0.95
-#: Unrelated fingerprints a cell: more of them are more comparisons, within a task, but fewer grids and less to shuffle.
-PER_CELL = 6000
-#: A cell of more rows than MOST is cut into blocks, which meet two by two. Cells are sized by the rows whose hash falls to
-#: one of ESTIMATE; no more than HOT cells are held to be so large.
-MOST, ESTIMATE, HOT = 48_000, 64, 100_000
+#: Rows of a block at most, and tasks that even one block's spans are dealt to.
+MOST, DEALT = 800_000, 12
+#: Numbers of spans that are considered, bits of a cell at most, and the comparisons that cost as much as a cell; see spans().
+SPANS, WIDEST, PER_CELL = (4, *range(15, 33)), 18, 40_000
 PRINT = ["f0", "f1", "f2", "f3"]
 _SCHEMA = "doc_id bigint, " + ", ".join(f"{f} bigint" for f in PRINT)
 
@@ -83,46 +82,48 @@ def counts(bits: np.ndarray) -> np.ndarray:
     return np.unpackbits(bits, axis=1, bitorder="little").reshape(len(bits), SEGMENTS, 2).sum(axis=2, dtype=np.int64)
 
 
-@lru_cache(64)
-def _agreeing(differing: int) -> list[tuple[float, int]]:
-    """Chances of how many segments of a pair have the same count, if `differing` of its bits do, at random places."""
-    found: dict[int, float] = {}
-    for both in range(max(0, differing - SEGMENTS), differing // 2 + 1):  # segments of which both bits differ: the same count by half
-        ways = math.comb(SEGMENTS, both) * math.comb(SEGMENTS - both, differing - 2 * both) * 2 ** (differing - 2 * both) / math.comb(BITS, differing)
-        for same in range(both + 1):
-            agree = SEGMENTS - differing + both + same
-            found[agree] = found.get(agree, 0.0) + ways * math.comb(both, same) / 2**both
-    return [(p, k) for k, p in found.items()]
+class Span(NamedTuple):
+    """A cell is the `width` bits from bit `at` on; the `length` bits from there may differ by `bound`."""
 
+    at: int
+    width: int
+    radius: int
+    length: int
+    bound: int
 
-def meeting(differing: int, spanned: int, number: int) -> float:
-    """The chance that a pair which differs in so many bits meets in one of `number` grids of `spanned` segments."""
-    return 1 - sum(p * (1 - math.comb(k, spanned) / math.comb(SEGMENTS, spanned)) ** number for p, k in _agreeing(differing))
 
+def spans(n: int, limit: int = LIMIT) -> list[Span]:
+    """Spans for n fingerprints that are compared with each other.
 
-def grids(n: int, design: float = DESIGN, recall: float = RECALL) -> np.ndarray:
-    """Segments that each grid spans, one grid a row, for n fingerprints.
-
-    Two unrelated segments have the same count with a chance of 3/8, so log(n / PER_CELL) / log(8/3) segments leave about
-    PER_CELL unrelated fingerprints a cell; up to PER_CELL in all are one cell. There are as many grids as give a pair that
-    differs in `design` of its bits the chance `recall` of meeting, by meeting().
+    Each span may differ by a number of bits, and with one more for each these add up to limit + 1. A pair within the limit
+    stays, from one of the spans on, below the sum of these, over as many spans as one likes: from the place on at which
+    its differing bits less these sums, added up around the ring, are at their last maximum. Of SPANS the number is taken
+    that costs least for random bits, in comparisons; any finds the same pairs.
     """
-    spanned = min(36, max(0, math.ceil(math.log(max(n / PER_CELL, 1)) / math.log(8 / 3))))
-    differing, most = math.ceil(design * BITS), 1
-    while meeting(differing, spanned, most) < recall:
-        most *= 2
-    number = bisect.bisect_left(range(most), recall, lo=1, key=lambda k: meeting(differing, spanned, k))
-    rng = np.random.Generator(np.random.PCG64(7))
-    return np.stack([np.sort(rng.permutation(SEGMENTS)[:spanned]) for _ in range(number)])
-
-
-def cells(longs: np.ndarray, grid: np.ndarray) -> Iterator[np.ndarray]:
-    """The cell of each fingerprint, (n, 4) longs, in one grid after another."""
-    place = (3 ** np.arange(grid.shape[1], dtype=np.uint64)).astype(np.int64)
-    embedded = counts(np.ascontiguousarray(longs).view(np.uint8))
-    for g, segments in enumerate(grid):
-        apart = np.uint64(g * 0x9E3779B97F4A7C15 % (1 << 64))
-        yield C.mix((embedded[:, segments] @ place).astype(np.uint64) + apart).view(np.int64)
+    found: list[tuple[float, list[Span]]] = []
+    for number in SPANS:
+        widths = [BITS // number + (k < BITS % number) for k in range(number)]
+        below = [(limit + 1) // number + (k < (limit + 1) % number) for k in range(number)]
+        cut, cost = [], 0.0
+        for k in range(number):
+            follow = 1
+            while sum(np.roll(widths, -k)[: follow + 1]) <= 64:
+                follow += 1
+            width, radius = widths[k] if widths[k] <= WIDEST else 0, below[k] - 1
+            if radius >= 0:
+                cut.append(Span(sum(widths[:k]), width, radius, int(sum(np.roll(widths, -k)[:follow])), int(sum(np.roll(below, -k)[:follow])) - 1))
+                cost += n * n * sum(math.comb(width, d) for d in range(min(radius, width) + 1)) / 2**width + PER_CELL * min(n, 2**width)
+        found.append((cost, cut))
+    return min(found)[1]
+
+
+def bits(longs: np.ndarray, at: int, length: int) -> np.ndarray:
+    """The `length` bits of each fingerprint, (n, 4) longs, from bit `at` on, the first following the last; up to 64."""
+    word, shift = divmod(at, 64)
+    found = longs[:, word] >> np.uint64(shift)
+    if shift + length > 64:
+        found = found | longs[:, (word + 1) % 4] << np.uint64(64 - shift)
+    return found & np.uint64((1 << length) - 1)
 
 
 def _parts(batches, size: int = 4000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -133,53 +134,28 @@ def _parts(batches, size: int = 4000) -> Iterator[tuple[pa.RecordBatch, np.ndarr
             yield part, np.stack([part.column(k + 1).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
 
 
-def blocks(reps: DataFrame, grid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of more than MOST rows, sorted, and into how many blocks each is cut; estimated from a part of the rows.
+def _in_blocks(reps: DataFrame, number: int, dealt: int) -> DataFrame:
+    """Every fingerprint in each task that its block is in: once with each of `number` blocks, for each share of the spans.
 
-    An estimate that is off makes a task larger or smaller, and no difference to the result. The estimates add up to the
-    rows of all cells, so at most HOT cells can exceed the bound.
+    task is the lesser block, the greater and the share, as one number; second says whether the row is of the greater.
     """
 
-    def run(batches):
-        for _, longs in _parts(batches):
-            for cell in cells(longs, grid):
-                found, number = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], names=["cell", "n"])
-
-    bound = max(MOST, n * len(grid) / HOT)
-    some = reps.filter(F.pmod(F.xxhash64(*PRINT), F.lit(ESTIMATE)) == 0)
-    large = some.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg((F.sum("n") * ESTIMATE).alias("n")).filter(F.col("n") > bound).toArrow().sort_by("cell")
-    return large["cell"].to_numpy(), np.ceil(large["n"].to_numpy() * 2 / bound).astype(np.int64)
-
-
-def _in_cells(reps: DataFrame, grid: np.ndarray, n: int) -> DataFrame:
-    """Every fingerprint in its cell of each grid; in a cell of k blocks, once with each block but its own."""
-    large, cut = blocks(reps, grid, n)
-
     def run(batches):
         for part, longs in _parts(batches):
-            own = C.mix(longs[:, 0].view(np.uint64) ^ longs[:, 3].view(np.uint64))
-            for cell in cells(longs, grid):
-                row = None
-                if len(large):
-                    at = np.minimum(np.searchsorted(large, cell), len(large) - 1)
-                    times = np.where(large[at] == cell, cut[at] - 1, 1)
-                    if (large[at] == cell).any():
-                        row = np.repeat(np.arange(len(cell)), times)
-                        number, other = cut[at][row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                        mine = (own[row] % number.astype(np.uint64)).astype(np.int64)
-                        other += other >= mine
-                        two = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
-                        cell = np.where((large[at] == cell)[row], C.mix(cell[row].view(np.uint64) + C.mix(two + np.uint64(1))).view(np.int64), cell[row])
-                rest = part.columns if row is None else part.take(pa.array(row)).columns
-                yield pa.RecordBatch.from_arrays([pa.array(cell), *rest], names=["cell", "rep", *PRINT])
-
-    return reps.mapInArrow(run, "cell bigint, rep bigint, " + ", ".join(f"{f} bigint" for f in PRINT))
+            own = (C.mix(longs[:, 0].view(np.uint64) ^ longs[:, 3].view(np.uint64)) % np.uint64(number)).astype(np.int64)
+            for other in range(number):
+                pair = np.minimum(own, other) * number + np.maximum(own, other)
+                for share in range(dealt):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair * dealt + share), pa.array(own > other), *part.columns], names=["task", "second", "rep", *PRINT])
+
+    return reps.mapInArrow(run, "task bigint, second boolean, rep bigint, " + ", ".join(f"{f} bigint" for f in PRINT))
 
 
 _ODD = np.uint64(0x5555555555555555)
 #: Rows that are compared with all others of a cell at once, and the others at a time.
 _ROWS, _COLUMNS = 32, 4096
+#: Pairs that wait to be verified together.
+_WAITING = 4096
 
 
 def embed(longs: np.ndarray) -> np.ndarray:
@@ -198,85 +174,135 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _held() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _held() -> tuple[np.ndarray, np.ndarray]:
     """Memory for the comparison of rows with columns, used again and again."""
-    return np.empty(_ROWS * _COLUMNS, np.uint64), np.empty(_ROWS * _COLUMNS, np.uint8), np.empty(_ROWS * _COLUMNS, np.uint8)
-
-
-def _within(longs: np.ndarray, embedded: np.ndarray, rows: np.ndarray, among: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in rows and in among of pairs within the limit; embedded is (4, n). Bounded by 3/4 of the segments, by all, then verified."""
-    left, right, mine = [], [], embedded[:3, rows, None]
-    for at in range(0, len(among), _COLUMNS):
-        part = among[at : at + _COLUMNS]
-        others, shape = embedded[:3, part], (len(rows), len(part))
-        apart, bits, bound = (held[: shape[0] * shape[1]].reshape(shape) for held in _held())
-        for k in range(3):
-            np.bitwise_xor(mine[k], others[k], out=apart)
-            np.bitwise_count(apart, out=bits if k else bound)
-            if k:
-                bound += bits
-        found = np.flatnonzero(bound.ravel() <= limit)
-        if len(found):
-            i, j = found // len(part), found % len(part)
-            keep = bound.ravel()[found] + np.bitwise_count(embedded[3, rows[i]] ^ embedded[3, part[j]]).astype(np.int64) <= limit
-            i, j = i[keep], j[keep]
-            keep = hamming(longs[rows[i]], longs[part[j]]) <= limit
-            left.append(i[keep])
-            right.append(j[keep] + at)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def link(longs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.empty(_ROWS * _COLUMNS, np.uint64), np.empty(_ROWS * _COLUMNS, np.uint8)
+
+
+def _within(mine: np.ndarray, others: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in mine and in others of pairs that differ by `bound` bits at most."""
+    shape = (len(mine), len(others))
+    apart, number = (held[: shape[0] * shape[1]].reshape(shape) for held in _held())
+    np.bitwise_count(np.bitwise_xor(mine[:, None], others, out=apart), out=number)
+    return np.divmod(np.flatnonzero(number.ravel() <= bound), len(others))
+
+
+class _Forest:
+    """Rows that are connected so far, and the pairs that connect them."""
+
+    def __init__(self, n: int):
+        self.parent, self.left, self.right = np.arange(n), [], []
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        found = self.parent[rows]
+        while True:
+            onward = self.parent[found]
+            if (onward == found).all():
+                self.parent[rows] = found
+                return found
+            found = onward
+
+    def _root(self, row: int) -> int:
+        while (up := int(self.parent[row])) != row:
+            self.parent[row] = row = int(self.parent[up])
+        return row
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs of rows; those within what is connected already are passed over."""
+        while len(a):
+            apart = self.roots(a) != self.roots(b)
+            a, b = a[apart], b[apart]
+            # one pair of each row of b at a time, as most of the others are connected then
+            for k in np.unique(b, return_index=True)[1].tolist():
+                x, y = self._root(int(a[k])), self._root(int(b[k]))
+                if x != y:
+                    self.parent[max(x, y)] = min(x, y)
+                    self.left.append(int(a[k]))
+                    self.right.append(int(b[k]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.left, np.int64), np.array(self.right, np.int64)
+
+
+def link(longs: np.ndarray, limit: int, first: int | None = None, over: list[Span] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows, verified to be within the limit, that connect all that such pairs connect; longs is (n, 4).
 
-    All rows are compared, but a row takes in all that is near it, then each of those what is still left, so that a group of
-    thousands gives as many pairs, not their square.
+    All pairs are searched, or those of one of the `first` rows with one of the others, over all spans or those given. Rows
+    of one group are compared with rows of others only, so that a group of thousands gives as many pairs, not their square.
     """
-    embedded = np.ascontiguousarray(embed(longs).T)
-    gone, rest = np.zeros(len(longs), bool), np.arange(len(longs))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(rest) > 1:
-        i, j = _within(longs, embedded, rest[:_ROWS], rest, limit)
-        i, j = i[j > i], j[j > i]
-        for k in np.unique(i).tolist():
-            x, new = rest[k], rest[j[i == k]]
-            new = new[~gone[new]]
-            if gone[x] or not len(new):
-                continue
-            left.append(np.full(len(new), x))
-            right.append(new)
-            gone[x], gone[new], front = True, True, new
-            while len(front):
-                rows, front = front[:_ROWS], front[_ROWS:]
-                among = rest[~gone[rest]]
-                a, b = _within(longs, embedded, rows, among, limit)
-                b, first = np.unique(b, return_index=True)
-                left.append(rows[a[first]])
-                right.append(among[b])
-                gone[among[b]] = True
-                front = np.concatenate([front, among[b]])
-        rest = rest[_ROWS:]
-        if len(i):
-            rest = rest[~gone[rest]]
-    return np.concatenate(left), np.concatenate(right)
+    forest, found, waiting = _Forest(len(longs)), [], 0
+    for at, width, radius, length, bound in spans(len(longs), limit) if over is None else over:
+        word, every = bits(longs, at, length), np.arange((1 << width) + 1)
+        cell = (word & np.uint64((1 << width) - 1)).astype(np.int64)
+        order = others = np.argsort(cell[:first], kind="stable")
+        start = others_start = np.searchsorted(cell[order], every)
+        if first is not None:
+            others = first + np.argsort(cell[first:], kind="stable")
+            others_start = np.searchsorted(cell[others], every)
+        near, word_of_others = np.flatnonzero(np.bitwise_count(every[:-1]) <= radius), word[others]
+        for c in np.flatnonzero(np.diff(start)).tolist():
+            rows, to = order[start[c] : start[c + 1]], near ^ c
+            if first is None:
+                to = to[to >= c]
+            begin = others_start[to]
+            sizes = others_start[to + 1] - begin
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)
+            among, words = others[places], word_of_others[places]
+            several = len(rows) > _ROWS
+            if several:  # those of one group together
+                rows = rows[np.argsort(forest.roots(rows), kind="stable")]
+            for k in range(0, len(rows), _ROWS):
+                some, left, theirs = rows[k : k + _ROWS], among, words
+                if several:
+                    root = forest.roots(some)
+                    if (root == root[0]).all():
+                        apart = forest.roots(among) != root[0]
+                        left, theirs = among[apart], words[apart]
+                for p in range(0, len(left), _COLUMNS):
+                    i, j = _within(word[some], theirs[p : p + _COLUMNS], bound)
+                    if len(i):
+                        found.append((some[i], left[p + j]))
+                        waiting += len(i)
+                    if waiting > _WAITING:
+                        forest.add(*_near(longs, found, forest, limit))
+                        found, waiting = [], 0
+    if found:
+        forest.add(*_near(longs, found, forest, limit))
+    return forest.pairs()
+
+
+def _near(longs: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], forest: _Forest, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, not known as connected, that are within the limit by their embeddings' distance and then by their own."""
+    a, b = (np.concatenate(rows) for rows in zip(*found, strict=True))
+    keep = forest.parent[a] != forest.parent[b]
+    a, b = a[keep], b[keep]
+    keep = manhattan(embed(longs[a]), embed(longs[b])) <= limit
+    a, b = a[keep], b[keep]
+    keep = hamming(longs[a], longs[b]) <= limit
+    return a[keep], b[keep]
 
 
 def pairs(reps: DataFrame, n: int, limit: int = LIMIT) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints within the limit that meet in a grid, by their representatives.
+    """Pairs (a, b), a < b, of distinct fingerprints within the limit, by their representatives, that connect all such pairs.
 
-    reps: rep and f0 to f3, n rows. Of a cell's pairs those are given that connect its groups; see link().
+    reps: rep and f0 to f3, n rows. Of a task's pairs those are given that connect its groups; see link().
     """
+    number = max(1, math.ceil(n / MOST))
+    cut = spans(math.ceil(n / number), limit)
+    dealt = max(1, min(DEALT // number, len(cut)))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pair, share = divmod(key[0].as_py(), dealt)
+        table = table.sort_by("second")
         rep = table["rep"].to_numpy()
         longs = np.stack([table[f].to_numpy() for f in PRINT], axis=1).view(np.uint64)
-        a, b = link(longs, limit)
+        first = None if pair // number == pair % number else int(np.sum(~table["second"].to_numpy()))
+        a, b = link(longs, limit, first, cut[share::dealt])
         return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
     reps = reps.select("rep", *PRINT)
-    return _in_cells(reps, grids(n, limit / BITS), n).groupBy("cell").applyInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
+    return _in_blocks(reps, number, dealt).groupBy("task").applyInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

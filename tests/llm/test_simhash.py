@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from offerlake.llm import columnar as C
 from offerlake.llm import simhash as S
@@ -108,29 +109,74 @@ def test_awkward_rows(awkward, nothing):
     assert S.groups(nothing).count() == 0 and S.dedup(nothing).count() == 0
 
 
-def test_pairs_at_the_limit_meet_at_any_size():
+def at_distance(rng, n, distance):
+    """n random fingerprints, and n that differ from them in `distance` bits at random places."""
+    a = rng.integers(0, 2, (n, S.BITS), np.uint8)
+    b = a.copy()
+    for row in b:
+        row[rng.permutation(S.BITS)[:distance]] ^= 1
+    return (np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (a, b))
+
+
+def test_bits_run_on_around_the_ring():
+    x = np.random.default_rng(8).integers(0, 2**63, (20, 4), dtype=np.int64).view(np.uint64)
+    ring = np.tile(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), 2)
+    for at, length in ((0, 64), (0, 9), (60, 4), (60, 5), (63, 64), (191, 10), (192, 64), (250, 30), (255, 64)):
+        expected = ring[:, at : at + length].astype(object) @ np.array([1 << k for k in range(length)], object)
+        assert S.bits(x, at, length).tolist() == expected.tolist()
+
+
+def test_every_pair_within_the_limit_is_within_the_bounds_of_a_span():
     rng = np.random.default_rng(4)
-    for n in (9_292, 200_000, 12_000_000):
-        assert S.meeting(S.LIMIT, S.grids(n).shape[1], len(S.grids(n))) >= S.RECALL
-        g, met = S.grids(n), 0
-        for _ in range(500):
-            a = rng.integers(0, 2, S.BITS, np.uint8)
-            b = a.copy()
-            b[rng.permutation(S.BITS)[: S.LIMIT]] ^= 1
-            same = np.equal(*S.counts(np.packbits([a, b], axis=1, bitorder="little")))
-            met += bool(same[g].all(axis=1).any())
-        assert met >= 0.92 * 500
-
-
-def test_grids_reach_the_design_recall_and_hold_the_cell_size():
-    for n in (10, 10**4, 10**6, 10**9):
-        g = S.grids(n)
-        agree = ((1 - S.DESIGN) ** 2 + S.DESIGN**2 / 2) ** g.shape[1]
-        assert 1 - (1 - agree) ** len(g) >= S.RECALL
-        assert n * (3 / 8) ** g.shape[1] <= S.PER_CELL or g.shape[1] == 36
-
-
-def test_cells_in_blocks_give_the_same_groups(spark, monkeypatch):
+    for number in S.SPANS:
+        for limit, n in ((S.LIMIT, 2000), (5, 200), (60, 200)):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(S, "SPANS", (number,))
+                cut = S.spans(1000, limit)
+            a, b = at_distance(rng, n, limit)
+            met = np.zeros(n, bool)
+            for at, width, radius, length, bound in cut:
+                in_cell = np.bitwise_count(S.bits(a, at, width) ^ S.bits(b, at, width)) <= radius
+                met |= in_cell & (np.bitwise_count(S.bits(a, at, length) ^ S.bits(b, at, length)) <= bound)
+            assert met.all()
+
+
+def test_links_are_the_same_by_any_spans_and_of_two_blocks_those_between_them(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2**63, (40, 4), dtype=np.int64).view(np.uint64)[rng.integers(0, 40, 700)]
+    for _ in range(24):
+        x = x ^ ((np.uint64(1) << rng.integers(0, 64, (700, 4), dtype=np.uint64)) * rng.integers(0, 2, (700, 4), dtype=np.uint64))
+    near = (S.hamming(x[:, None], x[None]) <= S.LIMIT) & (np.arange(700)[:, None] < np.arange(700))
+    between = near.copy()
+    between[:300, :300] = between[300:, 300:] = False
+    for number in (4, 16, 21, 30):
+        monkeypatch.setattr(S, "SPANS", (number,))
+        a, b = S.link(x, S.LIMIT)
+        assert (S.hamming(x[a], x[b]) <= S.LIMIT).all() and roots(700, zip(a, b, strict=True)) == roots(700, zip(*np.nonzero(near), strict=True))
+        a, b = S.link(x, S.LIMIT, 300)
+        assert ((a < 300) != (b < 300)).all() and roots(700, zip(a, b, strict=True)) == roots(700, zip(*np.nonzero(between), strict=True))
+
+
+def test_a_large_group_gives_as_many_links():
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.int64).view(np.uint64), 6000, axis=0)
+    for _ in range(5):
+        x ^= (np.uint64(1) << rng.integers(0, 64, (6000, 4), dtype=np.uint64)) * (rng.random((6000, 4)) < 0.4)
+    for over in (None, S.spans(300_000)[:2]):
+        assert len(S.link(x, S.LIMIT, None, over)[0]) == 5999
+
+
+def test_all_pairs_at_the_limit_are_linked_among_few_and_among_many(spark):
+    a, b = at_distance(np.random.default_rng(11), 400, S.LIMIT)
+    others = np.random.default_rng(12).integers(0, 2**63, (12_000, 4), dtype=np.int64).view(np.uint64)
+    for n in (0, 12_000):
+        x = np.concatenate([a, b, others[:n]])
+        rows = [(i, *r) for i, r in enumerate(x.view(np.int64).tolist())]
+        reps = spark.createDataFrame(rows, "rep bigint, " + ", ".join(f"{f} bigint" for f in S.PRINT))
+        assert {tuple(p) for p in S.pairs(reps, len(x)).collect()} == {(i, i + 400) for i in range(400)}
+
+
+def test_blocks_give_the_same_groups(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, (60, 4), dtype=np.int64).view(np.uint64)[rng.integers(0, 60, 500)]
     for _ in range(30):
@@ -138,10 +184,8 @@ def test_cells_in_blocks_give_the_same_groups(spark, monkeypatch):
     rows = [(i, *r) for i, r in enumerate(x.view(np.int64).tolist())]
     reps = spark.createDataFrame(rows, "rep bigint, " + ", ".join(f"{f} bigint" for f in S.PRINT)).repartition(4)
     near = np.argwhere(np.triu(S.hamming(x[:, None], x[None]) <= 35, 1))
-    assert S.blocks(reps, S.grids(500), 500)[0].size == 0
     found = [roots(500, map(tuple, S.pairs(reps, 500, 35).collect()))]
-    monkeypatch.setattr(S, "MOST", 64)
-    monkeypatch.setattr(S, "ESTIMATE", 1)
-    assert S.blocks(reps, S.grids(500), 500)[1].tolist() == [16]
-    found.append(roots(500, map(tuple, S.pairs(reps, 500, 35).collect())))
-    assert found[0] == found[1] == roots(500, near)
+    for most in (200, 64):
+        monkeypatch.setattr(S, "MOST", most)
+        found.append(roots(500, map(tuple, S.pairs(reps, 500, 35).collect())))
+    assert found == [roots(500, near)] * 3
