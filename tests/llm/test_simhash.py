@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from offerlake.llm import columnar as C
 from offerlake.llm import simhash as S
 
@@ -176,6 +177,24 @@ def test_all_pairs_at_the_limit_are_linked_among_few_and_among_many(spark):
         assert {tuple(p) for p in S.pairs(reps, len(x)).collect()} == {(i, i + 400) for i in range(400)}
 
 
+def test_the_pipeline_keeps_one_document_of_each_group_of_pairs_near_the_limit(spark, documents):
+    rng = random.Random(13)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(11_000)]
+    for k in range(1500):
+        texts.append(" ".join(edited(rng, texts[k].split(), 0.13)))
+    at, bits = prints(texts)
+    near = []
+    for k in range(0, len(bits), 500):
+        apart = np.bitwise_count(bits[k : k + 500, None, 0] ^ bits[None, :, 0])
+        for word in (1, 2, 3):
+            apart += np.bitwise_count(bits[k : k + 500, None, word] ^ bits[None, :, word])
+        i, j = np.nonzero(apart <= S.LIMIT)
+        near += [(int(a), int(b)) for a, b in zip(i + k, j, strict=True) if a < b]
+    assert at.tolist() == list(range(12_500)) and sum(S.hamming(bits[a], bits[b]) > 40 for a, b in near) > 100
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(texts), "").select("doc_id").collect()}
+    assert kept == set(roots(12_500, near))
+
+
 def test_blocks_give_the_same_groups(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, (60, 4), dtype=np.int64).view(np.uint64)[rng.integers(0, 60, 500)]
