@@ -112,9 +112,10 @@ def token_set(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit("[a-zа-яё0-9]+"), F.lit(0)), lambda w: F.length(w) > 2))
 
 
-def fts_tokens(c: Column | str) -> Column:
-    """Letters and digits of any script, lower case, without Latin accents and the Cyrillic breve and dots."""
-    return F.regexp_extract_all(fold_accents(F.lower(text(c))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def fts_tokens(c: Column | str, fold: bool = True) -> Column:
+    """Letters and digits of any script, lower case; with fold, without Latin accents and the Cyrillic breve and dots."""
+    lowered = F.lower(text(c))
+    return F.regexp_extract_all(fold_accents(lowered) if fold else lowered, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"

@@ -28,13 +28,13 @@ def refresh(index: DataFrame, changed: DataFrame, gone: DataFrame, key: str, col
     return index.join(touched, key, "left_anti").unionByName(postings(changed, key, columns))
 
 
-def bm25(docs: DataFrame, query: str, key: str, columns: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """key and score of the documents that hold every token of the query.
+def bm25(docs: DataFrame, query: str, key: str, columns: list[str], k1: float = K1, b: float = B, fold: bool = True) -> DataFrame:
+    """key and score of the documents that hold every token of the query; with fold, whatever the accents.
 
     Documents are measured where they are; all that is shuffled is one row of statistics.
     """
-    words = list(dict.fromkeys(_query_tokens(query)))
-    every = reduce(lambda a, c: F.concat(a, c), [X.fts_tokens(c) for c in columns])
+    words = list(dict.fromkeys(_query_tokens(query, fold)))
+    every = reduce(lambda a, c: F.concat(a, c), [X.fts_tokens(c, fold) for c in columns])
     hits = lambda v: F.filter(v["tokens"], lambda t: t.isin(*words) if words else F.lit(False))
     measured = docs.select(key, F.inline(F.array(X.let(lambda v: F.struct(F.size(v["tokens"]).alias("__dl"), hits(v).alias("__hits")), tokens=every))))
     df = [F.count_if(F.array_contains("__hits", w)).alias(f"__df{i}") for i, w in enumerate(words)]
@@ -48,10 +48,10 @@ def bm25(docs: DataFrame, query: str, key: str, columns: list[str], k1: float =
     return full.crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))  # one row
 
 
-def _query_tokens(query: str) -> list[str]:
+def _query_tokens(query: str, fold: bool = True) -> list[str]:
     import re
 
-    folded = query.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN))
+    folded = query.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN) if fold else {})
     return [t for w in folded.split() if len(w) > 1 for t in re.findall(r"[^\W_]+", w)]
 
 
@@ -62,9 +62,13 @@ def contains_all(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
     return docs.filter(test)
 
 
-def search(docs: DataFrame, query: str, key: str, columns: list[str], limit: int, category: str | None = None, category_col: str = "category") -> DataFrame:
-    """The best documents by BM25, of a category unless that is general; a query without a token goes by parts of words."""
+def search(docs: DataFrame, query: str, key: str, columns: list[str], limit: int, category: str | None = None, category_col: str = "category", places: int = 6, fold: bool = True) -> DataFrame:
+    """The best documents by BM25, of a category unless that is general; a query without a token goes by parts of words.
+
+    They are ranked by the score that is given out, to so many places; the key decides between equal ones.
+    """
     scope = docs.filter(F.col(category_col) == category) if category and category != "general" else docs
-    if not _query_tokens(query):
+    if not _query_tokens(query, fold):
         return contains_all(docs, query, columns).select(key, F.lit(0.0).alias("score")).orderBy(key).limit(limit)
-    return bm25(scope, query, key, columns).orderBy(F.desc("score"), key).limit(limit)
+    found = bm25(scope, query, key, columns, fold=fold).withColumn("score", F.round("score", places))
+    return found.orderBy(F.desc("score"), key).limit(limit)
