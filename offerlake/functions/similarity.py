@@ -15,9 +15,13 @@ from offerlake.functions.text import let, squeeze, text, token_set, tokens
 # n-grams
 def grams(c: Column, n: int) -> Column:
     """Every substring of n characters in order; the whole text where it is shorter, nothing where it is empty."""
-    size = F.length(c)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(many)
+
+    def of(v: Column) -> Column:
+        size = F.length(v["c"])
+        many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(v["c"], i, F.lit(n)))
+        return F.when(size == 0, F.array().cast("array<string>")).otherwise(many)
+
+    return let(of, c=c)
 
 
 def trigrams(c: Column | str) -> Column:
@@ -30,22 +34,27 @@ def bigrams(c: Column | str) -> Column:
 
 
 def square_norm(items: Column) -> Column:
-    """Sum of squares of how often each item stands in an array, in one pass over it sorted."""
+    """Sum of squares of how often each item stands in an array; where all differ that is its size, and only repeats are counted."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(s["last"] == x, s["run"] + 1).otherwise(1.0)  # a run of n adds 1 + 3 + ... + (2n - 1) = n * n
         return F.struct(x.alias("last"), run.alias("run"), (s["total"] + 2 * run - 1).alias("total"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda s: s["total"])
+    def repeated(v: Column) -> Column:
+        more = F.filter(v["s"], lambda x, i: x == F.get(v["s"], i - 1))  # n - 1 of n, and n * n = n + (n - 1) + (n - 1) * (n - 1)
+        return let(lambda w: F.size(v["s"]) + F.size(w["more"]) + F.aggregate(w["more"], start, step, lambda s: s["total"]), more=more)
+
+    size = F.size(items)
+    return F.when(F.size(F.array_distinct(items)) == size, size.cast("double")).otherwise(let(repeated, s=F.sort_array(items)))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two multisets given as arrays of texts; 0 where one is empty. The first should be the shorter one."""
+    """Cosine of two multisets given as arrays of texts; 0 where one is empty."""
 
     def of(v: Column) -> Column:
-        times = lambda items, x: F.size(F.filter(items, lambda y: y == x)).cast("double")
-        dot = F.aggregate(F.array_distinct(v["a"]), F.lit(0.0), lambda s, x: s + times(v["a"], x) * times(v["b"], x))
+        times = lambda items, x: (F.size(items) - F.size(F.array_remove(items, x))).cast("double")
+        dot = F.aggregate(F.array_intersect(v["a"], v["b"]), F.lit(0.0), lambda s, x: s + times(v["a"], x) * times(v["b"], x))
         norm = F.sqrt(square_norm(v["a"])) * F.sqrt(square_norm(v["b"]))
         return F.when(norm > 0, dot / norm).otherwise(0.0)
 

@@ -143,7 +143,38 @@ def plan(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_similarities_clean_a_text_once_a_row(spark):
+    rows = spark.createDataFrame([("a", "b")], "title string, body string")
+    assert plan(rows.select(S.trigrams("body").alias("x"))).count("regexp_replace") == 1
+    body = F.regexp_replace("body", "<[^>]+>", " ")
+    cosine = S.cosine(S.trigrams(L("blue widget")), S.trigrams(body))
+    assert plan(rows.select(cosine.alias("x"))).count("<[^>]+>") == 1
+
+
 def test_completeness_score_makes_no_grams(spark, sf_small):
     from offerlake.plans import catalogue
 
     assert "lambda" not in plan(catalogue.QUERIES["completeness_score"](spark, sf_small))
+
+
+def test_cosine_of_texts_with_repeats(spark):
+    from collections import Counter
+
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("aб 𝒳") for _ in range(rng.randint(0, 30))).strip() for _ in "ab") for _ in range(200)]
+    pairs += [("aaaaaaa", "aaaa"), ("", "aaa"), ("ab", "ab"), ("𝒳𝒳", "𝒳𝒳𝒳")]
+
+    def grams(t):
+        return Counter(t[i : i + 3] for i in range(max(len(t) - 2, 1))) if t else Counter()
+
+    def expected(a, b):
+        a, b = (grams(" ".join(t.split())) for t in (a, b))
+        norm = (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
+        return sum(n * b[x] for x, n in a.items()) / norm if norm else 0.0
+
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", S.cosine(S.trigrams("a"), S.trigrams("b")).alias("c"), S.square_norm(S.trigrams("a")).alias("n")).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert r["c"] == pytest.approx(expected(r["a"], r["b"]))
+        assert r["n"] == sum(n * n for n in grams(" ".join(r["a"].split())).values())
