@@ -86,8 +86,8 @@ def relevance(query: Column | str, title: Column | str, body: Column | str) -> C
     """
     q, t, b = F.lower(squeeze(query)), F.lower(text(title)), F.lower(squeeze(body))
 
-    def of(v: Column) -> Column:
-        q, t, b, words, numbers = (v[k] for k in ("q", "t", "b", "words", "numbers"))
+    def of(o: Column, v: Column) -> Column:
+        q, t, b, words, numbers = o["q"], o["t"], o["b"], v["words"], v["numbers"]
         all_numbers = (F.size(numbers) > 0) & F.forall(numbers, lambda n: b.contains(n))
         score = (
             0.42 * _share(words, lambda w: b.contains(w)) + 0.22 * _share(words, lambda w: t.contains(w)) + 0.24 * cosine(v["qg"], v["bg"])
@@ -95,8 +95,11 @@ def relevance(query: Column | str, title: Column | str, body: Column | str) -> C
         )
         return F.when((q == "") | (b == "") | (F.size(words) == 0), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 4))
 
-    numbers = F.regexp_extract_all(q, F.lit("[0-9]+(?:/[0-9]+)?"), F.lit(0))
-    return let(of, q=q, t=t, b=b, words=tokens(q), numbers=numbers, qg=trigrams(q), bg=trigrams(b))
+    def parts(o: Column) -> Column:  # of texts that are lower case and squeezed
+        numbers = F.regexp_extract_all(o["q"], F.lit("[0-9]+(?:/[0-9]+)?"), F.lit(0))
+        return let(lambda v: of(o, v), words=tokens(o["q"]), numbers=numbers, qg=grams(o["q"], 3), bg=grams(o["b"], 3))
+
+    return let(parts, q=q, t=t, b=b)
 
 
 def relevance_breakdown(query: Column | str, body: Column | str, fields: dict[str, Column], characteristics: Column) -> Column:

@@ -147,6 +147,7 @@ def test_similarities_clean_a_text_once_a_row(spark):
     rows = spark.createDataFrame([("a", "b")], "title string, body string")
     assert plan(rows.select(S.trigrams("body").alias("x"))).count("regexp_replace") == 1
     body = F.regexp_replace("body", "<[^>]+>", " ")
+    assert plan(rows.select(S.relevance(L("blue widget"), F.col("title"), body).alias("x"))).count("<[^>]+>") == 1
     cosine = S.cosine(S.trigrams(L("blue widget")), S.trigrams(body))
     assert plan(rows.select(cosine.alias("x"))).count("<[^>]+>") == 1
 
