@@ -18,6 +18,21 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return docs.select(key, F.explode(every).alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def token_counts(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """token, its uses and the number of different keys, null not among them, whose texts hold it.
+
+    A row counts its own tokens once, so what is grouped has the vocabulary's size. Only the rows of a repeated key are grouped by
+    token and key, to take off what they count more than once.
+    """
+    texts = docs.select(key, X.fts_tokens(column).alias("__tokens"))
+    split = texts.select(key, F.size("__tokens").alias("__n"), F.posexplode(F.concat("__tokens", F.array_distinct("__tokens"))).alias("__at", "token"))
+    rows = split.select("token", (F.col("__at") < F.col("__n")).cast("long").alias("uses"), ((F.col("__at") >= F.col("__n")) & F.col(key).isNotNull()).cast("long").alias("docs"))
+    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select(key)
+    held = texts.join(F.broadcast(repeated), key, "left_semi").select(key, F.explode(F.array_distinct("__tokens")).alias("token"))
+    surplus = held.groupBy("token", key).agg((1 - F.count(F.lit(1))).alias("docs")).select("token", F.lit(0).cast("long").alias("uses"), "docs")
+    return rows.unionByName(surplus).groupBy("token").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+
+
 def lengths(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.sum("tf").alias("dl"))
 
