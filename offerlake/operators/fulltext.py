@@ -77,13 +77,15 @@ def contains_all(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
     return docs.filter(test)
 
 
-def search(docs: DataFrame, query: str, key: str, columns: list[str], limit: int, category: str | None = None, category_col: str = "category", places: int = 6, fold: bool = True) -> DataFrame:
+def search(docs: DataFrame, query: str, key: str, columns: list[str], limit: int, category: str | None = None, category_col: str = "category", places: int | None = None, fold: bool = True) -> DataFrame:
     """The best documents by BM25, of a category unless that is general; a query without a token goes by parts of words.
 
-    They are ranked by the score that is given out, to so many places; the key decides between equal ones.
+    With places, scores are rounded before they rank; the key decides between equal ones.
     """
     scope = docs.filter(F.col(category_col) == category) if category and category != "general" else docs
     if not _query_tokens(query, fold):
         return contains_all(docs, query, columns).select(key, F.lit(0.0).alias("score")).orderBy(key).limit(limit)
-    found = bm25(scope, query, key, columns, fold=fold).withColumn("score", F.round("score", places))
+    found = bm25(scope, query, key, columns, fold=fold)
+    if places is not None:
+        found = found.withColumn("score", F.round("score", places))
     return found.orderBy(F.desc("score"), key).limit(limit)
